@@ -14,12 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docstrata.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.quality import calibrate, measure, verdict
+    from docstrata.llm.store import materialize
+
+    docs = table(spark, sf_dir, "documents")
+    measured = materialize(measure(docs.select("doc_id", "lang", "text")).drop("text"), "measured")
+    kept = verdict(measured, calibrate(measured, table(spark, sf_dir, "labels")))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,8 +47,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docstrata.llm import oracles
+
+    return {"op1_substring_dedup": oracles.OP1, "op5_quality_rules": oracles.op5()}
