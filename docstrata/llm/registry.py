@@ -37,6 +37,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.warc import archive_roundtrip
+
+    return archive_roundtrip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op7_warc, op8_html_text, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
