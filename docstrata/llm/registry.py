@@ -49,6 +49,12 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op7_warc, op8_html_text, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op7_warc, op8_html_text, op9_vectors, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
