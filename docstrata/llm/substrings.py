@@ -19,8 +19,9 @@ from docstrata.llm.textbytes import RangeHash, gather, hash_bytes, mixed, row_bl
 
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
-#: Parts and buckets for each shuffle partition, so that no partition is much larger than others.
-PARTS = 4
+#: Parts for each shuffle partition, so that no partition is much larger than others; buckets are so many times fewer
+#: than partitions, so the packed rows, one a part and bucket, are no more than the blocks of any shuffle.
+PARTS = 2
 
 
 def packed(sorted_keys: np.ndarray) -> bytes:
@@ -71,11 +72,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = n * PARTS
+    parts, buckets = n * PARTS, max(8, n // PARTS)
     key = docs.schema[id_col].dataType
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     d = d.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")).repartition(n, "part")
-    edges = np.array([(b << 64) // parts for b in range(1, parts)], np.uint64)
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
     def emit(t: pa.Table) -> pa.Table:
         found = []
@@ -86,7 +87,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         once, more = keys[counts == 1], keys[counts > 1]
         rows = []
         a, b = np.append(np.searchsorted(once, edges), len(once)), np.append(np.searchsorted(more, edges), len(more))
-        for k in range(parts):
+        for k in range(buckets):
             x, y = once[a[k - 1] if k else 0 : a[k]], more[b[k - 1] if k else 0 : b[k]]
             if len(x) or len(y):
                 rows.append((k, packed(x), packed(y)))
