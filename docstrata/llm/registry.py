@@ -21,6 +21,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docstrata.llm.mixing import mix
 
@@ -65,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_quality_rules, op7_warc, op8_html_text, op9_vectors, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op5_quality_rules, op7_warc, op8_html_text, op9_vectors, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
