@@ -10,7 +10,7 @@ So with probability 1 - ``delta`` no stratum loses more than ``risk`` of its goo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
@@ -116,11 +116,11 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta:
         *[F.count_if(~F.col("good") & hit).alias(f"{r}_{k}_bad") for (r, k), hit in over.items()],
     )
     tests = [F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k"), F.lit(float(RULES[r][2][k])).alias("cut"), F.col(f"{r}_{k}_good").alias("lost"), F.col(f"{r}_{k}_bad").alias("caught")) for r, k in over]
-    table = counts.select("stratum", "n", F.explode(F.array(*tests)).alias("t")).select("stratum", "n", "t.*")
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # of a row a stratum
+    table = counts.select("stratum", "n", "strata", F.explode(F.array(*tests)).alias("t")).select("stratum", "n", "strata", "t.*")
     # a row a stratum and cutoff from here on
     share = risk / len(RULES)
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    table = table.crossJoin(F.broadcast(strata)).filter((F.col("lost") <= share * F.col("n")) & (F.col("caught") > 0))
+    table = table.filter((F.col("lost") <= share * F.col("n")) & (F.col("caught") > 0))
     table = table.filter(binomial_tail(F.col("lost"), F.col("n"), share) <= delta / (F.col("strata") * len(over)))
     best = table.groupBy("stratum", "rule").agg(F.max_by("cut", F.struct("caught", -F.col("k"))).alias("cut"))
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut"))

@@ -33,6 +33,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docstrata.llm.quality import calibrate, measure, verdict
     from docstrata.llm.store import materialize
@@ -71,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op5_quality_rules, op7_warc, op8_html_text, op9_vectors, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op4_line_dedup, op5_quality_rules, op7_warc, op8_html_text, op9_vectors, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
