@@ -17,14 +17,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate: each joins the links with every node's smallest neighbour, so a node
     of very many links is summed before it is shuffled and its join may be split. Each round is written to the shared
-    folder and compared with the one before; chains shorten by at least half a round. Links of a node to itself and
-    null ends are left out; no links give no rows.
+    folder; the last one is that after which every node is linked to its component's smallest alone. Links of a node
+    to itself and null ends are left out; no links give no rows.
     """
     low, high = F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")
     held = materialize(links.filter("u != v").select(high, low).distinct(), "links")
-    print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = print_of(held)
-    while True:
+    while not _stars(held):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,14 +30,18 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         new = materialize(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u != v").distinct(), "links")
         drop_table(held)
-        held, now = new, print_of(new)
-        if now == seen:
-            break
-        seen = now
+        held = new
     roots = held.select("v").distinct()
     return held.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link to a smaller one, which has none itself."""
+    if links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0] > 1:
+        return False
+    return links.select("v").distinct().join(links.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty()
+
+
 def sorted_blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows in runs that share the first ``keys`` columns, from batches sorted by them; many whole runs at once."""
     held: list[pa.RecordBatch] = []

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from docstrata.llm.components import Union, components, run_starts, sorted_blocks, tiles
+from docstrata.llm.components import components, run_starts, sorted_blocks, tiles
 from docstrata.llm.store import materialize
 from docstrata.llm.textbytes import RangeHash, gather, hash_bytes, mixed, row_blocks, text_bytes, word_spans
 
@@ -25,7 +25,7 @@ SHINGLE = 5
 LEAST = 0.8
 #: Sketches a document, shingles a sketch, and how many sketches each pass looks at.
 SKETCHES, DEPTH = 12, 3
-PASSES = (3, 9)
+PASSES = (2, 10)
 BLOCK_BYTES = 2 << 20
 #: Documents of a part of a bucket.
 PART_ROWS = 256
@@ -155,34 +155,45 @@ def sketch(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, depth
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
-def _linked(rows: DataFrame, words: DataFrame, size: int, least: float, partitions: int) -> DataFrame:
-    """Links (u, v) that join all documents of a bucket (s, key) that verified pairs join. rows: s, key, node, label."""
+def _linked(rows: DataFrame, words: DataFrame, size: int, least: float, partitions: int, begin: int) -> DataFrame:
+    """Links (u, v) that join all documents of a bucket (s, key) that verified pairs join. rows: s, key, node, label.
+
+    Documents of one label are joined already, and so are those that a link of the block has joined. Pairs that share
+    a sketch before ``begin`` were compared in an earlier pass and aren't compared again.
+    """
     dealt = tiles(rows, ["s", "key"], "node", PART_ROWS).join(words, "node")
-    dealt = dealt.select("s", "key", "tile", "node", "label", "own", "parts", "words").repartition(partitions, "s", "key", "tile").sortWithinPartitions("s", "key", "tile")
+    dealt = dealt.select("s", "key", "tile", "node", "label", "own", "parts", "words", "keys").repartition(partitions, "s", "key", "tile").sortWithinPartitions("s", "key", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in sorted_blocks(batches, 3):
             starts = run_starts(block, 3)
             tile, node, label, own, parts = (block.column(k).to_numpy() for k in ("tile", "node", "label", "own", "parts"))
-            blobs, us, vs = block.column("words"), [], []
+            blobs, keys = block.column("words"), block.column("keys").combine_chunks()
+            keys = (keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten().to_numpy().reshape(block.num_rows, -1)[:, :begin]
+            us, vs = [], []
             for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if j - i < 2:
+                root = np.unique(label[i:j], return_inverse=True)[1]
+                if not root.any():
                     continue
-                held = [np.frombuffer(blobs[k].as_buffer(), "<u4").astype(np.uint64) for k in range(i, j)]
-                seqs = [shingle_hashes(w, np.array([0, len(w)]), size)[0] for w in held]
-                union, seen = Union(j - i), {}
-                for k in range(j - i):
-                    union.join(seen.setdefault(int(label[i + k]), k), k)
-                for x in range(j - i):
-                    for y in range(x + 1, j - i):
-                        if own[i + x] == own[i + y] and own[i + x] * parts[i] + own[i + y] != tile[i]:
-                            continue
-                        if union.find(x) != union.find(y) and alike(seqs[x], seqs[y], least):
-                            union.join(x, y)
-                for k in range(j - i):
-                    if (r := union.find(k)) != k:
-                        us.append(node[i + k])
-                        vs.append(node[i + r])
+                seqs: dict[int, np.ndarray] = {}
+
+                def sequence(k: int, i: int = i, seqs: dict = seqs) -> np.ndarray:
+                    if k not in seqs:
+                        w = np.frombuffer(blobs[i + k].as_buffer(), "<u4").astype(np.uint64)
+                        seqs[k] = shingle_hashes(w, np.array([0, len(w)]), size)[0]
+                    return seqs[k]
+
+                o, grid = own[i:j], parts[i]
+                for x in range(j - i - 1):
+                    # two rows of one part meet in every tile of the part; the one with itself counts
+                    ok = (root[x + 1 :] != root[x]) & ((o[x + 1 :] != o[x]) | (o[x] * grid + o[x] == tile[i]))
+                    for y in (np.flatnonzero(ok) + x + 1).tolist():
+                        if root[x] != root[y] and not (keys[i + x] == keys[i + y]).any() and alike(sequence(x), sequence(y), least):
+                            us.append(node[i + x])
+                            vs.append(node[i + y])
+                            root[root == root[y]] = root[x]
+                    if not root.any() or (root == root[0]).all():
+                        break
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
@@ -207,20 +218,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: float = LEAST,
     rows = materialize(rows.join(counts, ["s", "key"]), "shared-sketches")
     # one row of each word sequence, by its unique number: the words of copies are not shuffled to one place
     chosen = known.groupBy("node").agg(F.min("row").alias("row")).join(rows.select("node").distinct(), "node", "left_semi")
-    words = materialize(known.select("row", "node", "words").join(chosen.select("row"), "row", "left_semi").select("node", "words"), "shared-words")
+    words = materialize(known.select("row", "node", "words", "keys").join(chosen.select("row"), "row", "left_semi").select("node", "words", "keys"), "shared-words")
     links, label, begin = None, None, 0
     for many in PASSES:
         own = rows.filter(F.col("s").between(begin, begin + many - 1))
-        begin += many
         if label is None:
             own = own.withColumn("label", F.col("node"))
         else:
             own = own.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
             open_ = own.groupBy("s", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("s", "key")
             own = own.join(open_, ["s", "key"], "left_semi")
-        found = materialize(_linked(own.select("s", "key", "node", "label"), words, size, least, n), "near-links")
+        found = materialize(_linked(own.select("s", "key", "node", "label"), words, size, least, n, begin), "near-links")
         links = found if links is None else links.unionByName(found)
         label = materialize(components(links), "near-labels")
+        begin += many
     d = sketched.select("id", "row", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = d.filter("label is not null").groupBy("label").agg(F.min("id").alias("class_id"))
     out = d.join(classes, "label", "left")
