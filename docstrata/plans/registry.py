@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from docstrata.plans import dialogue, documents, graph, retrieval  # noqa: F401
+    from docstrata.plans import dialogue, documents, graph, retrieval, rules  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
