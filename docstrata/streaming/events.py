@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """Events with a watermark if they may come late; a watermark needs a time with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
+
+
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts and sums in tumbling or sliding windows; a stream needs ``late``, the time it waits for late rows."""
-    d = events.withWatermark("ts", late) if late else events
+    d = _timed(events, late)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     out = d.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
@@ -16,7 +21,7 @@ def windowed(events: DataFrame, size: str, slide: str | None = None, late: str |
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """A user's sessions: events less than ``gap`` apart."""
-    d = events.withWatermark("ts", late) if late else events
+    d = _timed(events, late)
     out = d.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
