@@ -43,6 +43,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.articles: dict[int, None] = {}
+        self.bodies: set[int] = set()
 
     def flush(self) -> None:
         if self.parts:
@@ -78,6 +79,8 @@ class _Lines(HTMLParser):
             self.number += 1
             if tag in ARTICLES and not apart:
                 self.articles[self.number] = None
+            if tag == "body":
+                self.bodies.add(self.number)
             self.stack.append((tag, self.number, apart))
             self.apart += apart
 
@@ -149,12 +152,17 @@ def main_text(html: str | None) -> str:
     if roots:
         kept = [bool(roots.intersection(path)) for _, _, path, _ in lines]
     else:
-        # the lowest element that holds all marked lines, from the first of them, with a heading before it, to the last
+        # the lowest element that holds all marked lines; of the whole page, what lies between the first, with a line
+        # before it in the same element, and the last of them
         paths = [x[2] for x, ok in zip(lines, inside) if ok]
         shared = set(paths[0]).intersection(*paths[1:])
         marked = np.flatnonzero(inside)
-        begin = marked[0] - (marked[0] > 0 and shared <= set(lines[marked[0] - 1][2]) and lines[marked[0] - 1][2] == lines[marked[0]][2])
-        kept = [begin <= k <= marked[-1] and shared <= set(x[2]) for k, x in enumerate(lines)]
+        first, last = int(marked[0]), int(marked[-1])
+        if shared - parser.bodies:
+            first, last = 0, len(lines) - 1
+        elif first and lines[first - 1][2] == lines[first][2]:
+            first -= 1
+        kept = [first <= k <= last and shared <= set(x[2]) for k, x in enumerate(lines)]
     return "\n".join(x[0] for x, ok in zip(lines, kept) if ok)
 
 

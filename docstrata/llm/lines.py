@@ -191,14 +191,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines are linked if they are equal, or differ by at most one edit for every CHARS_AN_EDIT characters of the
     shorter one, MOST_EDITS at most. Of a group that links join, the occurrence in the smallest id stays (null last; then
     by row and line), the others go. n_links counts, over the document's lines, the other texts that differ and are
-    linked directly. Null texts count as empty and keep an empty kept_text; an empty table gives no row. Columns of
+    linked directly. Rows that share their id and text are treated
+    alike: each keeps what the first does. Null texts count as empty and keep an empty kept_text; an empty table gives no row. Columns of
     ``docs`` with the names of the new ones are replaced. Line texts are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts, buckets = n * PARTS, max(8, n // PARTS)
     added = ["n_lines", "n_removed", "n_kept", "n_links", "removed", "kept_text"]
-    base = docs.select(*[docs[c] for c in docs.columns if c not in added], docs[text_col].alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    # the documents' own columns travel as one, so none can clash
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in added]).alias("_doc"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    # a row is told by its id and text, which any task that reads it again finds alike
+    base = base.withColumn("_row", F.xxhash64("_id", "_text"))
     base = base.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int"))
     d = base.repartition(n, "_part")
 
@@ -214,7 +218,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(nodes), pa.array(number), pa.array(place)], ["id", "row", "part", "node", "line", "place"])
 
     fields = [StructField("id", docs.schema[id_col].dataType)] + [StructField(c, LongType()) for c in ("row", "part", "node", "line", "place")]
-    seen = materialize(base.select(docs[id_col].alias("id"), "_row", F.col("_part").cast("long"), "_text").mapInArrow(occurrences, StructType(fields)), "line-places")
+    seen = materialize(base.select(F.col("_id").alias("id"), "_row", F.col("_part").cast("long"), "_text").mapInArrow(occurrences, StructType(fields)), "line-places")
     rank = F.struct(F.col("id").isNull().alias("z"), "id", "row", "line", "part", "place")
     owners = seen.groupBy("node").agg(F.min(rank).alias("o")).select(F.col("o.part").cast("int").alias("_part"), F.col("o.place").alias("place"), F.lit(None).cast("binary").alias("found")).repartition(n, "_part")
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
@@ -271,8 +275,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     label = materialize(counts.join(components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "node", "left"), "line-labels")
     marked = seen.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = marked.groupBy("label").agg(F.min(rank).alias("o")).select("label", F.col("o.place").alias("stays"))
-    by_row = marked.join(first, "label").groupBy("part", "row").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"), F.collect_list(F.when(F.col("place") != F.col("stays"), F.col("line"))).alias("removed"))
-    by_row = by_row.withColumn("_part", F.col("part").cast("int")).drop("part").repartition(n, "_part")
+    line = F.struct("line", F.coalesce("links", F.lit(0)).alias("links"), (F.col("place") != F.col("stays")).alias("gone"))
+    by_row = marked.join(first, "label").groupBy("part", "row").agg(F.collect_set(line).alias("l"))
+    sums = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["links"])
+    removed = F.transform(F.filter("l", lambda x: x["gone"]), lambda x: x["line"])
+    by_row = by_row.select(F.col("part").cast("int").alias("_part"), "row", F.size("l").cast("long").alias("n_lines"), sums.alias("n_links"), removed.alias("removed")).repartition(n, "_part")
 
     def cut(t: pa.Table, r: pa.Table) -> pa.Table:
         of = {row: k for k, row in enumerate(r.column("row").to_pylist())}
@@ -290,11 +297,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         n_lines = [0 if k is None else lines[k] for k in at]
         for name, column in zip(added, ([*n_lines], [len(x) for x in gone], [a - len(x) for a, x in zip(n_lines, gone)], [0 if k is None else links[k] for k in at], pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.string()))):
             t = t.append_column(name, column if isinstance(column, pa.Array) else pa.array(column, pa.int64()))
-        return t.drop_columns(["_text", "_row", "_part"])
+        return t.drop_columns(["_id", "_text", "_row", "_part"])
 
     kinds = [LongType()] * 4 + [ArrayType(LongType()), StringType()]
-    schema = StructType([*base.drop("_text", "_row", "_part").schema.fields, *[StructField(c, k) for c, k in zip(added, kinds)]])
-    return d.groupBy("_part").cogroup(by_row.groupBy("_part")).applyInArrow(cut, schema)
+    schema = StructType([base.schema["_doc"], *[StructField(c, k) for c, k in zip(added, kinds)]])
+    return d.groupBy("_part").cogroup(by_row.groupBy("_part")).applyInArrow(cut, schema).select("_doc.*", *added)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,13 @@ def _repeat_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) < window + 1, F.lit(0).cast("long")).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(windows(h), covered)))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed.
 
@@ -61,18 +68,19 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    d = docs.withColumns({"_words": F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), "_lines": lines})
-    n = F.size("_words").cast("long")
+    words, held = _free("_words", docs.columns), _free("_lines", docs.columns)
+    d = docs.withColumns({words: F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), held: lines})
+    n = F.size(words).cast("long")
     d = d.withColumns(
         {
             "n_words": n,
             "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words"), REPEAT_WINDOW),
+            "n_lines": F.size(held).cast("long"),
+            "n_dup_lines": (F.size(held) - F.size(F.array_distinct(held))).cast("long"),
+            "n_repeat_words": _repeat_words(F.col(words), REPEAT_WINDOW),
         }
-    ).drop("_words", "_lines")
+    ).drop(words, held)
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -106,8 +114,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     Documents that the base rules reject, or without a label, take no part. Without labels there is no row.
     """
     marks = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good"))
-    held = measured.join(marks, measured[id_col] == marks["_id"]).filter(~F.col("base_failed"))
-    held = held.select(F.col(stratum_col).alias("stratum"), (F.col("_good") == 1).alias("good"), *[_figure(r).alias(r) for r in RULES])
+    figures = measured.filter(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.col(stratum_col).alias("stratum"), *[_figure(r).alias(r) for r in RULES])
+    held = figures.join(marks, "_id").select("stratum", (F.col("_good") == 1).alias("good"), *RULES)
     # all counts of a stratum in one pass: a row a stratum leaves each task
     over = {(r, k): F.col(r) > sign * cut for r, (_, sign, cuts) in RULES.items() for k, cut in enumerate(cuts)}
     counts = held.groupBy("stratum").agg(
@@ -133,10 +141,11 @@ def verdict(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang")
     """
     from docstrata.llm.store import materialize
 
-    cutoffs = materialize(cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_{r}") for r in RULES]), "cutoffs")
+    own = _free("_cutoffs", measured.columns)
+    cutoffs = materialize(cutoffs.select(F.struct("stratum", *RULES).alias(own)), "cutoffs")
     few = cutoffs.count() <= SENT_STRATA
-    d = measured.join(F.broadcast(cutoffs) if few else cutoffs, measured[stratum_col].eqNullSafe(F.col("_stratum")), "left")
+    d = measured.join(F.broadcast(cutoffs) if few else cutoffs, measured[stratum_col].eqNullSafe(F.col(own)["stratum"]), "left")
     strict = F.lit(False)
     for r, (_, sign, _) in RULES.items():
-        strict = strict | F.coalesce(_figure(r) > sign * F.col(f"_{r}"), F.lit(False))
-    return d.withColumn("kept", ~F.col("base_failed") & ~strict).drop("_stratum", *[f"_{r}" for r in RULES])
+        strict = strict | F.coalesce(_figure(r) > sign * F.col(own)[r], F.lit(False))
+    return d.withColumn("kept", ~F.col("base_failed") & ~strict).drop(own)
