@@ -15,7 +15,7 @@ def markdown_bundle(spark: SparkSession, path: str) -> DataFrame:
 
     Files with an empty body are left out. A front matter that isn't flat gives what of it is.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     head, body = front_matter(F.col("value"))
     return files.select(F.col("_metadata.file_path").alias("path"), head.alias("meta"), body.alias("body")).filter(F.length(F.trim("body")) > 0)
 
