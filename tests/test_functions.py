@@ -93,3 +93,15 @@ def test_first_unconvertible_fact_decides(spark):
     facts = spark.createDataFrame([(1, "a", 1, None), (1, "a", 2, 9.0), (2, "a", 1, 9.0), (2, "a", 2, None), (3, "b", 1, 1.0)], "o int, keyword string, ord int, value double")
     got = {r["o"]: r["result"] for r in rules.condition_results(facts, conditions, ["o"]).collect()}
     assert got == {1: None, 2: True, 3: None}
+
+
+def test_conditions(spark):
+    from docstrata.functions import conditions as C
+
+    got = one(spark, C.conditions_of(F.col("a")), a="65吨/小时（45.5兆瓦）及以下的；年用溶剂型涂料10吨及以上的;其他;二")
+    assert [(c["kind"], c["value"], c["unit"], c["cmp"]) for c in got] == [("qualitative", None, None, None), ("threshold", 10.0, "吨", ">="), ("qualitative", None, None, None)]
+    got = one(spark, C.conditions_of(F.col("a")), a="锅炉65吨/小时（45.5兆瓦）及以下的")
+    assert [(c["keyword"], c["value"], c["unit"], c["cmp"]) for c in got] == [("锅炉", 65.0, "吨/小时", "<=")]
+    assert one(spark, C.industry_codes(F.col("a")), a="学校 5000平方米 831、2018年 26") == ["831"]
+    assert one(spark, C.keyword_fits(F.col("a"), F.col("b")), a="年用溶剂型涂料", b="溶剂型涂料（含稀释剂）") is True
+    assert one(spark, C.core_words(F.col("a")), a="固体废物、噪声") == ["固体废物", "固体", "废物", "噪声"]
