@@ -27,8 +27,8 @@ LEAST = 0.8
 SKETCHES, DEPTH = 12, 3
 PASSES = (2, 10)
 BLOCK_BYTES = 2 << 20
-#: Documents of a part of a bucket.
-PART_ROWS = 256
+#: Documents of a part of a bucket, and of a tile from which on all its pairs are counted at once.
+PART_ROWS, MATRIX_ROWS = 256, 6
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +129,32 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return head + tail >= need
 
 
+def common_shingles(seqs: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Shingles that each two sequences have in common, as multisets: a matrix product over occurrences that two share."""
+    labels = []
+    for s in seqs:
+        order = np.argsort(s, kind="stable")
+        k = np.arange(len(s))
+        same = np.zeros(len(s), bool)
+        same[1:] = s[order][1:] == s[order][:-1]
+        nth = (k - np.maximum.accumulate(np.where(same, 0, k))).astype(np.uint64)
+        labels.append(mixed(s[order] + nth * np.uint64(0xA24BAED4963EE407)))
+    owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    _, of, count = np.unique(np.concatenate(labels), return_inverse=True, return_counts=True)
+    column = (np.cumsum(count > 1) - 1)[of]
+    some = count[of] > 1
+    owner, column = owner[some], column[some]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(seqs), len(seqs)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [begin, begin + columns])
+        m = np.zeros((len(seqs), columns), np.float32)
+        m[owner[a:b], column[a:b] - begin] = 1
+        out += m @ m.T
+    return out
+
+
 def sketch(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row (unique), node (a hash of the word sequence, null without words), keys (array) and words (packed hashes)."""
 
@@ -184,16 +210,19 @@ def _linked(rows: DataFrame, words: DataFrame, size: int, least: float, partitio
                     return seqs[k]
 
                 o, grid = own[i:j], parts[i]
-                for x in range(j - i - 1):
-                    # two rows of one part meet in every tile of the part; the one with itself counts
-                    ok = (root[x + 1 :] != root[x]) & ((o[x + 1 :] != o[x]) | (o[x] * grid + o[x] == tile[i]))
-                    for y in (np.flatnonzero(ok) + x + 1).tolist():
-                        if root[x] != root[y] and not (keys[i + x] == keys[i + y]).any() and alike(sequence(x), sequence(y), least):
-                            us.append(node[i + x])
-                            vs.append(node[i + y])
-                            root[root == root[y]] = root[x]
-                    if not root.any() or (root == root[0]).all():
-                        break
+                # two rows of one part meet in every tile of the part; the one with itself counts
+                open_ = np.triu(root[:, None] != root[None, :], 1) & ((o[:, None] != o[None, :]) | ((o * grid + o)[:, None] == tile[i]))
+                for k in range(begin):
+                    open_ &= keys[i:j, k][:, None] != keys[i:j, k][None, :]
+                if j - i >= MATRIX_ROWS and open_.any():
+                    lengths = np.array([len(sequence(k)) for k in range(j - i)])
+                    shared = common_shingles([sequence(k) for k in range(j - i)])
+                    open_ &= shared >= least * (lengths[:, None] + lengths[None, :]) / (1 + least) - 1e-3
+                for x, y in zip(*(z.tolist() for z in np.nonzero(open_))):
+                    if root[x] != root[y] and alike(sequence(x), sequence(y), least):
+                        us.append(node[i + x])
+                        vs.append(node[i + y])
+                        root[root == root[y]] = root[x]
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
