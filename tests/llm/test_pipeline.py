@@ -40,3 +40,17 @@ def test_matches_sql(spark, name):
     df = queries()[name](spark, SF)
     names, expected = sql_rows(SF, oracle_sql()[name])
     assert sorted(df.columns) == names and rows_of(df) == expected
+
+
+def test_stages_keep_rows_without_or_with_shared_ids(spark):
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(3)), (7, text(4)), (5, text(4)), (7, text(5)), (8, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["text"], r["doc_id"]) for r in P.near_stage(spark, docs, SF).collect())
+    assert got == [(text(0), None), (text(1), None), (text(2), None), (text(3), 7), (text(4), 5), (text(5), 7), (text(6), 8)]
+    one = docs.filter("doc_id is null or doc_id = 7").dropDuplicates(["text"])
+    texts = [r["text"] for r in P.mix_stage(spark, one, SF).collect()]
+    # one source: its target is 1.5 times its words, so of 6 documents of 40 words 3 are taken twice
+    assert len(texts) == 9 and set(texts) == {text(k) for k in range(6)} and max(map(texts.count, texts)) == 2
