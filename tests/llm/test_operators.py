@@ -399,3 +399,15 @@ def test_shared_dir_is_the_clusters(spark):
 
     d = materialize(spark.range(5), "t")
     assert d.count() == 5 and d.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark).removeprefix("file:"))
+
+
+def test_suffix_dedup_of_neighbouring_rows(spark):
+    """Rows of one part whose last and first windows share their minimizer."""
+    from docstrata.llm.suffixes import remove_repeated_bytes
+
+    rnd = random.Random(8)
+    texts = ["The quick brown fox jumps over the lazy dog, again."[:50]] * 2 + ["=" * 120] * 3
+    texts += ["".join(rnd.choice("abcdefghijklmnop ") for _ in range(60)) for _ in range(100)]  # so that parts hold several rows
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeated_bytes(docs).collect()}
+    assert got == {k: len(t) if t in texts[:k] else 0 for k, t in enumerate(texts)}
