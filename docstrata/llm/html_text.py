@@ -25,15 +25,27 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav aside footer form menu dialog search".split())
 ARTICLES = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NAMED = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|sidebar|side-bar|aside|footer|masthead|site-header|page-header|breadcrumbs?|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|share|sharing|social|comments?|commentlist|respond|repl(?:y|ies)|disqus|related|recommend(?:ed|ations?)?|widgets?|login|signup|register|toolbar|pagination|pager|skip-link)(?:$|[^a-z])"
-)
+_NAMES = r"(?:nav|navbar|navigation|menu|menubar|sidebar|side-bar|aside|footer|masthead|site-header|page-header|breadcrumbs?|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|share|sharing|social|comments?|commentlist|respond|repl(?:y|ies)|disqus|related|recommend(?:ed|ations?)?|widgets?|login|signup|register|toolbar|pagination|pager|skip-link)"
+# words that say where or in what form such a part stands; other words beside its name ("has-sidebar") tell of something else
+_FORMS = r"(?:area|bar|block|body|bottom|box|button|buttons|cards?|col|column|container|fixed|footer|form|global|header|holder|inner|item|items|left|links?|list|main|mobile|outer|overlay|page|panel|placeholder|posts?|primary|right|row|secondary|section|site|slot|sticky|text|top|unit|wrap|wrapper)"
+PART = re.compile(rf"[^a-z]*(?:(?P<name>{_NAMES})|{_FORMS})(?=[^a-z]|$)[^a-z]*")
 SIGMA, REACH = 1.0, 2
 FEED = 1 << 16
 
 
+def names_aside(token: str) -> bool:
+    """Whether a whole class or id is a name of a part beside the article, alone or joined with such words."""
+    at, found = 0, False
+    while at < len(token):
+        part = PART.match(token, at)
+        if not part:
+            return False
+        at, found = part.end(), found or part["name"] is not None
+    return found
+
+
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, path of containers, set aside by markup)."""
+    """Collects lines: (text, tags, path of containers, set aside by markup). Containers set aside by name alone are in ``named``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -43,6 +55,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.articles: dict[int, None] = {}
+        self.named: set[int] = set()
         self.bodies: set[int] = set()
 
     def flush(self) -> None:
@@ -74,9 +87,10 @@ class _Lines(HTMLParser):
             held = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
             inside = any(n in self.articles for _, n, _ in self.stack)
             apart = tag in ASIDE or tag == "header" and not inside or held.get("role") in ROLES or "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "")
-            apart = apart or tag not in ("body", "article", "main") and bool(NAMED.search(f"{held.get('class', '')} {held.get('id', '')}"))
             apart = apart or tag == "article" and bool(re.search(r"(?:^|[^a-z])(?:comments?|repl(?:y|ies)|ads?|teaser|related)(?:$|[^a-z])", f"{held.get('class', '')} {held.get('id', '')}"))
             self.number += 1
+            if not apart and tag not in ("body", "article", "main") and any(map(names_aside, f"{held.get('class', '')} {held.get('id', '')}".split())):
+                self.named.add(self.number)
             if tag in ARTICLES and not apart:
                 self.articles[self.number] = None
             if tag == "body":
@@ -132,6 +146,32 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values >= (low + high) / 2
 
 
+def _set_aside(parser: _Lines, lines: list[tuple[str, int, tuple[int, ...], bool]]) -> set[int]:
+    """The containers that are left out for their names: not those that hold the article.
+
+    A container holds it if most of the upper cluster's text is in an article or main element of it. Where no such
+    element with text stands outside of named containers, any article or main element counts, or most of that text and
+    of the page's.
+    """
+    if not any(parser.named.intersection(x[2]) for x in lines):
+        return set()
+    inside = upper_cluster(smooth(np.array([len(text) / tags for text, tags, _, _ in lines])))
+    whole = sum(len(x[0]) for x, ok in zip(lines, inside) if ok)
+    every = sum(len(x[0]) for x in lines)
+    size: dict[int, int] = {}  # text of the upper cluster by container
+    full: dict[int, int] = {}  # all text by container
+    above: dict[int, tuple[int, ...]] = {}  # containers around an article element with text
+    for x, ok in zip(lines, inside):
+        for k, c in enumerate(x[2]):
+            size[c] = size.get(c, 0) + ok * len(x[0])
+            full[c] = full.get(c, 0) + len(x[0])
+            if c in parser.articles:
+                above[c] = x[2][:k]
+    free = any(not parser.named.intersection(path) for path in above.values())
+    held = {c for a, path in above.items() if not free or 2 * size[a] > whole for c in path}
+    return {c for c in parser.named if c not in held and (free or 2 * size.get(c, 0) <= whole or 2 * full.get(c, 0) <= every)}
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one a line. Null, empty or text-less pages give an empty text."""
     if not html:
@@ -142,6 +182,10 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x[3]]
+    if not lines:
+        return ""
+    named = _set_aside(parser, lines)
+    lines = [x for x in lines if not named.intersection(x[2])]
     if not lines:
         return ""
     ratios = smooth(np.array([len(text) / tags for text, tags, _, _ in lines]))

@@ -411,3 +411,20 @@ def test_suffix_dedup_of_neighbouring_rows(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: r["n_removed"] for r in remove_repeated_bytes(docs).collect()}
     assert got == {k: len(t) if t in texts[:k] else 0 for k, t in enumerate(texts)}
+
+
+def test_main_text_in_named_wrappers():
+    from docstrata.llm.html_text import main_text
+
+    long = [f"Sentence {k} of the article says something of some length about its subject, and goes on for a while." for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    links = "<ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul>"
+    for wrapper in ("class='layout has-sidebar'", "class='content no-sidebar'", "class='main-content widget'", "id='social-policy'", "class='banner'"):
+        for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>"):
+            assert main_text(f"<html><body><div class='nav'>{links}</div><div {wrapper}>{inner}</div></body></html>").split("\n") == long, (wrapper, inner[:6])
+    for name in ("ad", "ad-slot", "sidebar", "site-footer", "related-posts", "share-buttons", "cookie-banner", "comments-area", "post ad"):
+        aside = f"<div class='{name}'><p>Something else that is not of the article but is as long as a line of it is, almost.</p></div>"
+        assert main_text(f"<html><body>{links}<article>{body}{aside}</article></body></html>").split("\n") == long, name
+        assert main_text(f"<html><body><div class='story'>{body}</div>{aside}</body></html>").split("\n") == long, name
+    cards = "".join(f"<article><p>{x}</p></article>" for x in long)
+    assert main_text(f"<html><body><main>{body}</main><div class='related-posts'>{cards}</div></body></html>").split("\n") == long
