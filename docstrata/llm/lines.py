@@ -6,6 +6,10 @@ enters the index under its segments, and probes the index, for each length that
 those places. Keys are counted packed, as ranges of hashes; only lines with a key that another line shares are
 written out. They meet in blocks, where a banded bit-parallel edit distance verifies pairs. A pair that several
 segments bring together counts at the first. Groups of linked lines keep their first occurrence in the corpus.
+
+Where the shorter line allows more than SHORT_EDITS edits, probes by place would number some cube of the edits. There
+each segment has WINDOW characters or more, so it enters the index under its smallest gram, and a line probes with the
+smallest gram of each of its windows, wherever they stand. Those rows have no text; pairs get theirs once.
 """
 
 from __future__ import annotations
@@ -21,10 +25,15 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from docstrata.llm.components import components, run_starts, sorted_blocks, tiles
 from docstrata.llm.store import materialize
 from docstrata.llm.substrings import packed, unpacked
-from docstrata.llm.textbytes import RangeHash, mixed, row_blocks, text_bytes
-
-#: Edits allowed at most, and characters of the shorter line for each of them.
-MOST_EDITS, CHARS_AN_EDIT = 2, 10
+from docstrata.llm.textbytes import RangeHash, gather, mixed, row_blocks, text_bytes
+
+#: Characters of the shorter line for each edit allowed, for the first SHORT_EDITS, and for all of them in longer lines.
+CHARS_AN_EDIT, SHORT_EDITS, LONG_CHARS_AN_EDIT = 10, 2, 20
+#: From this length on lines allow more than SHORT_EDITS; then each of edits + 1 segments has WINDOW characters or more.
+LONG = LONG_CHARS_AN_EDIT * (SHORT_EDITS + 1)
+WINDOW, GRAM = LONG // (SHORT_EDITS + 2), 12
+#: Hashed grams of BIN_GRAM characters that are counted before a pair of long lines is aligned.
+BINS, BIN_GRAM = 256, 4
 BLOCK_BYTES = 2 << 20
 PARTS = 2
 PART_ROWS = 512
@@ -33,7 +42,7 @@ _SPACE = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
 
 def edits_allowed(length: np.ndarray | int) -> np.ndarray | int:
-    return np.minimum(length // CHARS_AN_EDIT, MOST_EDITS)
+    return np.maximum(np.minimum(length // CHARS_AN_EDIT, SHORT_EDITS), length // LONG_CHARS_AN_EDIT)
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +95,10 @@ def line_keys(hashes: RangeHash, starts: np.ndarray, ends: np.ndarray) -> tuple[
     """Index keys and probe keys of lines, each with the number of its line. A line's index keys are not among its probes."""
     length = ends - starts
     own, probes = ([], []), ([], [])
-    for longer in range(MOST_EDITS + 1):
+    for longer in range(SHORT_EDITS + 1):
         short = length - longer
         allowed = np.where(short > 0, edits_allowed(np.maximum(short, 0)), 0)
-        for edits in range(max(1, longer), MOST_EDITS + 1):
+        for edits in range(max(1, longer), SHORT_EDITS + 1):
             some = np.flatnonzero(allowed == edits)
             if not len(some):
                 continue
@@ -105,6 +114,69 @@ def line_keys(hashes: RangeHash, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return (join(own[0], np.uint64), join(own[1], np.int64)), (join(probes[0], np.uint64), join(probes[1], np.int64))
 
 
+def long_keys(hashes: RangeHash, starts: np.ndarray, ends: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """As line_keys, for pairs whose shorter line has LONG characters or more."""
+    which = np.flatnonzero(ends - starts >= LONG)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if not len(which):
+        return none, none
+    at, length = starts[which], (ends - starts)[which]
+    n = len(hashes.sums) - 1
+    a = np.arange(n - GRAM + 1)
+    grams = mixed(mixed(hashes(a, a + GRAM)) + np.uint64(0x9FB21C651E98DF25))
+    least = grams[: n - WINDOW + 1].copy()
+    for k in range(1, WINDOW - GRAM + 1):
+        np.minimum(least, grams[k : k + len(least)], out=least)
+    least = np.append(least, np.uint64(0xFFFFFFFFFFFFFFFF))
+    k = edits_allowed(length) + 1
+    line = np.repeat(np.arange(len(which)), k)
+    i = np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k)
+    base, more = (length // k)[line], (k - length % k)[line]
+    begin = at[line] + i * base + np.maximum(0, i - more)
+    end = begin + base + (i >= more) - WINDOW + 1
+    own = np.minimum.reduceat(least, np.stack([begin, end], 1).ravel())[::2]
+    windows = length - WINDOW + 1
+    asked = gather(least, at, windows)
+    # a key once a line; an index key is not among the line's probes
+    both = np.stack([np.concatenate([line, np.repeat(np.arange(len(which)), windows)]).astype(np.uint64), np.concatenate([own, asked]), np.repeat(np.array([0, 1], np.uint64), [len(own), len(asked)])], 1)
+    both = both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))]
+    new = np.ones(len(both), bool)
+    new[1:] = (both[1:, :2] != both[:-1, :2]).any(1)
+    both = both[new]
+    role = both[:, 2] == 0
+    return tuple((both[m, 1], which[both[m, 0].astype(np.int64)]) for m in (role, ~role))
+
+
+def whole_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two arrays of characters, or most + 1 if it is larger: bit-parallel, a column of bits a step."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    k = min(len(a), len(b))
+    differ = np.flatnonzero(a[:k] != b[:k])
+    head = int(differ[0]) if len(differ) else k
+    differ = np.flatnonzero(a[len(a) - (k - head) :][::-1] != b[len(b) - (k - head) :][::-1])
+    tail = int(differ[0]) if len(differ) else k - head
+    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    if not x or not y:
+        return min(max(len(x), len(y)), most + 1)
+    where: dict[int, int] = {}
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top, score = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    more, less = full, 0
+    for j, c in enumerate(y):
+        same = where.get(c, 0)
+        v = same | less
+        h = ((same & more) + more ^ more) | same
+        up, down = less | full & ~(h | more), more & h
+        score += bool(up & top) - bool(down & top)
+        if score - (len(y) - 1 - j) > most:
+            return most + 1
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        more, less = down | full & ~(v | up), up & v
+    return min(score, most + 1)
+
+
 def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two arrays of characters, or most + 1 if it is larger.
 
@@ -189,7 +261,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A line is a piece of text between line feeds; lines without a word are left as they are and not counted. Two
     lines are linked if they are equal, or differ by at most one edit for every CHARS_AN_EDIT characters of the
-    shorter one, MOST_EDITS at most. Of a group that links join, the occurrence in the smallest id stays (null last; then
+    shorter one up to SHORT_EDITS, and one for every LONG_CHARS_AN_EDIT if that is more. Of a group that links join, the occurrence in the smallest id stays (null last; then
     by row and line), the others go. n_links counts, over the document's lines, the other texts that differ and are
     linked directly. Rows that share their id and text are treated
     alike: each keeps what the first does. Null texts count as empty and keep an empty kept_text; an empty table gives no row. Columns of
@@ -229,6 +301,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             (own, _), (asked, _) = line_keys(hashes, starts, ends)
             index.append(own)
             probe.append(asked)
+            (own, _), (asked, _) = long_keys(hashes, starts, ends)
+            index.append(own)
+            probe.append(asked)
         none = np.zeros(0, np.uint64)
         index, counts = np.unique(np.concatenate([none, *index]), return_counts=True)
         sent = {"once": index[counts == 1], "more": index[counts > 1], "probe": np.unique(np.concatenate([none, *probe]))}
@@ -251,7 +326,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def write(t: pa.Table, r: pa.Table) -> pa.Table:
         found = np.sort(np.concatenate([np.zeros(0, np.uint64), *_blobs(r, "found")]))
-        keys, nodes, index, texts = [], [], [], []
+        keys, nodes, index, texts, sizes = [], [], [], [], []
         for chars, hashes, starts, ends, node in _owned_lines(t, r) if len(t) else ():
             for role, (key, line) in enumerate(line_keys(hashes, starts, ends)):
                 hit = _member(key, found)
@@ -262,15 +337,39 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 nodes.append(node[line])
                 index.append(np.full(len(line), role == 0))
                 texts += [chars[a:b].tobytes() for a, b in zip(starts[line].tolist(), ends[line].tolist())]
+                sizes.append(ends[line] - starts[line])
+            met_long = []
+            for role, (key, line) in enumerate(long_keys(hashes, starts, ends)):
+                hit = _member(key, found)
+                key, line = key[hit], line[hit]
+                keys.append(key.view(np.int64))
+                nodes.append(node[line])
+                index.append(np.full(len(line), role == 0))
+                texts += [None] * len(line)
+                sizes.append(ends[line] - starts[line])
+                met_long.append(line)
+            # long lines give their text once, in a row without a size
+            line = np.unique(np.concatenate(met_long))
+            keys.append(np.zeros(len(line), np.int64))
+            nodes.append(node[line])
+            index.append(np.zeros(len(line), bool))
+            texts += [chars[a:b].tobytes() for a, b in zip(starts[line].tolist(), ends[line].tolist())]
+            sizes.append(np.zeros(len(line), np.int64))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"key": join(keys, np.int64), "node": join(nodes, np.int64), "index": join(index, bool), "chars": pa.array(texts, pa.binary())})
+        return pa.table({"key": join(keys, np.int64), "node": join(nodes, np.int64), "index": join(index, bool), "chars": pa.array(texts, pa.binary()), "size": join(sizes, np.int64)})
 
     hashed = d.groupBy("_part").cogroup(owners.groupBy("_part")).applyInArrow(emit, "bucket int, _part int, once binary, more binary, probe binary")
     found = hashed.groupBy("bucket").applyInArrow(match, "_part int, place long, found binary").repartition(n, "_part")
-    met = d.groupBy("_part").cogroup(owners.unionByName(found).groupBy("_part")).applyInArrow(write, "key long, node long, index boolean, chars binary")
+    met = d.groupBy("_part").cogroup(owners.unionByName(found).groupBy("_part")).applyInArrow(write, "key long, node long, index boolean, chars binary, size long")
     met = materialize(met, "line-candidates", "zstd")
-    dealt = tiles(met, ["key"], "node", PART_ROWS).select("key", "tile", "node", "index", "chars", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
-    links = materialize(dealt.mapInArrow(_verify, "node long, links long, root long"), "line-links")
+    short = met.filter("chars is not null and size > 0")
+    dealt = tiles(short, ["key"], "node", PART_ROWS).select("key", "tile", "node", "index", "chars", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
+    links = dealt.mapInArrow(_verify, "node long, links long, root long")
+    dealt = tiles(met.filter("chars is null").drop("chars"), ["key"], "node", PART_ROWS).select("key", "tile", "node", "index", "size", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
+    pairs = materialize(dealt.mapInArrow(_pairs, "u long, v long").distinct(), "line-pairs")
+    held = met.filter("size = 0").groupBy("node").agg(F.any_value("chars").alias("chars"))
+    pairs = pairs.join(held.select(F.col("node").alias("u"), F.col("chars").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("chars").alias("b")), "v")
+    links = materialize(links.unionByName(pairs.select("u", "v", "a", "b").mapInArrow(_verify_pairs, "node long, links long, root long")), "line-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     label = materialize(counts.join(components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "node", "left"), "line-labels")
     marked = seen.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -345,3 +444,48 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [(ids[k], links[k], ids[union.find(k)]) for k in range(len(ids)) if links[k]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "links", "root"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u the shorter line or the smaller node, v) of long lines that share an index key and may be linked."""
+    for block in sorted_blocks(batches, 2):
+        starts = run_starts(block, 2)
+        tile, node, own, parts, index, size = (block.column(k).to_numpy() for k in ("tile", "node", "own", "parts", "index", "size"))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            first = i + np.flatnonzero(index[i:j])
+            if j - i < 2 or not len(first):
+                continue
+            longer = size[None, i:j] - size[first][:, None]
+            o = own[i:j]
+            fit = (longer >= 0) & (longer <= edits_allowed(size[first])[:, None]) & (node[first][:, None] != node[None, i:j])
+            # two rows of one part meet in every tile of the part; the one with itself counts
+            fit &= (own[first][:, None] != o[None, :]) | ((o * parts[i] + o)[None, :] == tile[i])
+            a, b = np.nonzero(fit)
+            a, b = first[a], i + b
+            swap = (size[a] == size[b]) & (node[a] > node[b])
+            us.append(np.where(swap, node[b], node[a]))
+            vs.append(np.where(swap, node[a], node[b]))
+        found = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
+
+
+def _bins(chars: np.ndarray) -> np.ndarray:
+    at = np.arange(len(chars) - BIN_GRAM + 1)
+    grams = mixed(RangeHash(chars.astype(np.uint64))(at, at + BIN_GRAM))
+    return np.bincount((grams % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+
+
+def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of pairs with their texts: (node, 1, root) for both lines of a pair within its edits."""
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for u, v, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            a, b = (np.frombuffer(z.as_buffer(), "<u4") for z in (x, y))
+            most = int(edits_allowed(len(a)))
+            # an edit takes away and adds BIN_GRAM grams at most
+            if np.abs(_bins(a) - _bins(b)).sum() <= 2 * BIN_GRAM * most and whole_edits(a, b, most) <= most:
+                out += [(u, 1, min(u, v)), (v, 1, min(u, v))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "links", "root"])

@@ -428,3 +428,39 @@ def test_main_text_in_named_wrappers():
         assert main_text(f"<html><body><div class='story'>{body}</div>{aside}</body></html>").split("\n") == long, name
     cards = "".join(f"<article><p>{x}</p></article>" for x in long)
     assert main_text(f"<html><body><main>{body}</main><div class='related-posts'>{cards}</div></body></html>").split("\n") == long
+
+
+def test_line_dedup_of_long_lines(spark):
+    """Against brute force: a changed word, or edits all over a line, up to and beyond what its length allows."""
+    from docstrata.llm.lines import dedup_lines, edits_allowed, whole_edits
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9)))
+    lines = []
+    for length in (55, 59, 60, 61, 79, 80, 99, 119, 120, 198, 400):
+        base = " ".join(word() for _ in range(length))[:length].rstrip().ljust(length, "z")
+        words = base.split(" ")
+        words[len(words) // 2] = "kkkkkkk"[: len(words[len(words) // 2])]
+        lines += [base, " ".join(words)]
+        most = int(edits_allowed(length))
+        for many in (most - 1, most, most + 1):
+            x = list(base)
+            for k in range(many):  # evenly spread, so that as few segments as may be stay
+                at = (2 * k + 1) * length // (2 * many)
+                x[at] = rnd.choice(["", "q", x[at] + "q"])
+            lines.append("".join(x))
+    lines = list(dict.fromkeys(lines))
+    links = dict.fromkeys(range(len(lines)), 0)
+    for i, a in enumerate(lines):
+        for j in range(i):
+            most = int(edits_allowed(min(len(a), len(lines[j]))))
+            d = _edits(a, lines[j]) if abs(len(a) - len(lines[j])) <= most else most + 1
+            x, y = (np.array([ord(c) for c in z], np.uint32) for z in (a, lines[j]))
+            assert whole_edits(x, y, most) == min(d, most + 1)
+            links[i] += d <= most
+            links[j] += d <= most
+    got = {r["doc_id"]: r["n_links"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == links and sum(links.values()) > 40
+    one = "The committee met on Tuesday in the old town hall and spoke for two hours about the bridge, the road and the school, before it was told that there was no money left for any of these plans this year."
+    docs = spark.createDataFrame([(1, one), (2, one.replace("committee", "assembly"))], "doc_id long, text string")
+    assert [r["n_removed"] for r in dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1]
