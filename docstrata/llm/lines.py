@@ -8,13 +8,16 @@ written out. They meet in blocks, where a banded bit-parallel edit distance veri
 segments bring together counts at the first. Groups of linked lines keep their first occurrence in the corpus.
 
 Where the shorter line allows more than SHORT_EDITS edits, probes by place would number some cube of the edits. There
-each segment has WINDOW characters or more, so it enters the index under its smallest gram, and a line probes with the
-smallest gram of each of its windows, wherever they stand. Those rows have no text; pairs get theirs once.
+each segment has a WINDOWS length or more, so it enters the index under its smallest gram, and a line probes with the
+smallest gram of each of its windows. Keys hold the step of the length and about where the gram stands, from the nearer
+end. Those rows have only the characters beside the gram, which tell if the whole segment is the same; the texts of the
+pairs that are left are fetched from their documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +28,27 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from docstrata.llm.components import components, run_starts, sorted_blocks, tiles
 from docstrata.llm.store import materialize
 from docstrata.llm.substrings import packed, unpacked
-from docstrata.llm.textbytes import RangeHash, gather, mixed, row_blocks, text_bytes
+from docstrata.llm.textbytes import RangeHash, distinct, gather, mixed, row_blocks, text_bytes
 
 #: Characters of the shorter line for each edit allowed, for the first SHORT_EDITS, and for all of them in longer lines.
 CHARS_AN_EDIT, SHORT_EDITS, LONG_CHARS_AN_EDIT = 10, 2, 20
-#: From this length on lines allow more than SHORT_EDITS; then each of edits + 1 segments has WINDOW characters or more.
+#: From this length on lines allow more than SHORT_EDITS; then each of edits + 1 segments has as many characters as the window beside the length, or more.
 LONG = LONG_CHARS_AN_EDIT * (SHORT_EDITS + 1)
-WINDOW, GRAM = LONG // (SHORT_EDITS + 2), 12
+WINDOWS = ((LONG, 15), (200, 18), (380, 19))
+GRAM = 10
+#: Lines whose lengths are of one step of this ratio, and grams that stand in one stretch of NEAR characters or a NEAR_SHARE of the line, share keys.
+LENGTH_STEP, NEAR, NEAR_SHARE = 1.25, 48, 8
+#: Characters on either side of a gram that tell whether its whole segment is the same: no segment of a long line is longer.
+CONTEXT = LONG_CHARS_AN_EDIT - GRAM
+#: A key has so many bits, and those of the number of partitions. Lines that meet by chance are told apart when they are verified.
+KEY_BITS = 36
+_STEPS = np.array([int(LENGTH_STEP**k) for k in range(8, 160)])
 #: Hashed grams of BIN_GRAM characters that are counted before a pair of long lines is aligned.
 BINS, BIN_GRAM = 256, 4
 BLOCK_BYTES = 2 << 20
 PARTS = 2
 PART_ROWS = 512
+LONG_ROWS = 4096
 
 _SPACE = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
@@ -114,37 +126,91 @@ def line_keys(hashes: RangeHash, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return (join(own[0], np.uint64), join(own[1], np.int64)), (join(probes[0], np.uint64), join(probes[1], np.int64))
 
 
-def long_keys(hashes: RangeHash, starts: np.ndarray, ends: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """As line_keys, for pairs whose shorter line has LONG characters or more."""
+def _near_keys(grams: np.ndarray, side: np.ndarray | int, near: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Keys of grams by the side of the line from which their place counts, the stretch there and the step of the length."""
+    return mixed(grams + np.uint64(0x9FB21C651E98DF25) * np.asarray(side + 1, np.uint64) + near.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + step.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+
+
+def _stretch(step: np.ndarray) -> np.ndarray:
+    return np.maximum(NEAR, _STEPS[step] // NEAR_SHARE)
+
+
+def long_keys(hashes: RangeHash, starts: np.ndarray, ends: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """As line_keys, for pairs whose shorter line has LONG characters or more: rows of the index, and probes.
+
+    A segment enters under its smallest gram. A line probes with the smallest gram of each of its windows. An edit
+    before an unchanged segment moves it by one at most, and segments before it are all changed; so it moves by no
+    more than its number, counted from the nearer end of the line. Keys hold the stretch that the gram stands in,
+    counted from that end, and the step of the length; probes ask for all that the moves and edits allow. A row has
+    its key, its line and the gram's place; one of the index also its segment and the characters of it on either side.
+    """
     which = np.flatnonzero(ends - starts >= LONG)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    kinds = ("key", "line", "place", "segment", "left", "right")
+    n = len(hashes.sums) - 1
     if not len(which):
-        return none, none
+        return {k: np.zeros(0, np.uint64 if k == "key" else np.int64) for k in kinds}, {k: np.zeros(0, np.uint64 if k == "key" else np.int64) for k in kinds[:3]}
     at, length = starts[which], (ends - starts)[which]
-    n = len(hashes.sums) - 1
+    edits = edits_allowed(length)
     a = np.arange(n - GRAM + 1)
-    grams = mixed(mixed(hashes(a, a + GRAM)) + np.uint64(0x9FB21C651E98DF25))
-    least = grams[: n - WINDOW + 1].copy()
-    for k in range(1, WINDOW - GRAM + 1):
-        np.minimum(least, grams[k : k + len(least)], out=least)
-    least = np.append(least, np.uint64(0xFFFFFFFFFFFFFFFF))
-    k = edits_allowed(length) + 1
+    grams = mixed(hashes(a, a + GRAM))
+    # the place in the low bits: the smallest tells where it stands, the first of equal ones
+    bits = np.uint64(max(1, int(n).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = np.append(grams & ~low | a.astype(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
+    # index
+    k = edits + 1
     line = np.repeat(np.arange(len(which)), k)
     i = np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k)
     base, more = (length // k)[line], (k - length % k)[line]
     begin = at[line] + i * base + np.maximum(0, i - more)
-    end = begin + base + (i >= more) - WINDOW + 1
-    own = np.minimum.reduceat(least, np.stack([begin, end], 1).ravel())[::2]
-    windows = length - WINDOW + 1
-    asked = gather(least, at, windows)
-    # a key once a line; an index key is not among the line's probes
-    both = np.stack([np.concatenate([line, np.repeat(np.arange(len(which)), windows)]).astype(np.uint64), np.concatenate([own, asked]), np.repeat(np.array([0, 1], np.uint64), [len(own), len(asked)])], 1)
-    both = both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))]
-    new = np.ones(len(both), bool)
-    new[1:] = (both[1:, :2] != both[:-1, :2]).any(1)
-    both = both[new]
-    role = both[:, 2] == 0
-    return tuple((both[m, 1], which[both[m, 0].astype(np.int64)]) for m in (role, ~role))
+    size = base + (i >= more)
+    p = (np.minimum.reduceat(order, np.stack([begin, begin + size - GRAM + 1], 1).ravel())[::2] & low).astype(np.int64)
+    step = np.searchsorted(_STEPS, length, "right") - 1
+    place, side = p - at[line], (2 * i > edits[line]).astype(np.int64)
+    near = np.where(side > 0, length[line] - place, place) // _stretch(step[line])
+    index = {"key": _near_keys(grams[p], side, near, step[line]), "line": which[line], "place": place, "segment": i, "left": p - begin, "right": begin + size - p - GRAM}
+    # probes
+    keys, rows, places_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    shortest = length - edits
+    kind_of = lambda x: np.searchsorted([w[0] for w in WINDOWS], x, "right") - 1
+    least, have = order, 1
+    for kind, (_, window) in enumerate(WINDOWS):
+        for k in range(have, window - GRAM + 1):  # windows grow, so the smallest of the narrower ones serve
+            have, least = have + 1, np.minimum(least, np.append(order[k:], np.full(k, order[-1])))
+        some = np.flatnonzero((kind_of(np.maximum(shortest, LONG)) <= kind) & (kind_of(length) >= kind))
+        windows = length[some] - window + 1
+        found = gather(least, at[some], windows) & low
+        own = np.repeat(some, windows)
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
+        p, own = found[new].astype(np.int64), own[new]
+        place, slack = p - at[own], edits[own] // 2 + 1
+        for side, count in enumerate((place, length[own] - place)):
+            move = np.minimum(slack, count // (window - 1) + 1)
+            half = count <= length[own] // 2 + slack + 2 * window
+            for step in (0, 1):
+                s = np.searchsorted(_STEPS, (shortest if step else length)[own], "right") - 1
+                ok = half & (s < np.searchsorted(_STEPS, length[own], "right") - 1) if step else half
+                width = _stretch(s)
+                first, last = np.maximum(count - move, 0) // width, (count + move) // width
+                for near, take in ((first, ok), (last, ok & (last > first))):
+                    keys.append(_near_keys(grams[p[take]], side, near[take], s[take]))
+                    rows.append(which[own[take]])
+                    places_.append(place[take])
+    asked = {"key": np.concatenate(keys), "line": np.concatenate(rows), "place": np.concatenate(places_)}
+    # what the line's own index says at the same place isn't asked
+    told = lambda x: mixed(x["key"] ^ mixed(x["line"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + x["place"].astype(np.uint64)))
+    other = ~_member(told(asked), np.sort(told(index)))
+    return index, {k: x[other] for k, x in asked.items()}
+
+
+def contexts(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A byte of each of the CONTEXT characters on either side of grams, 0 beyond the line."""
+    p = starts[line] + place
+    at = p[:, None] + np.concatenate([np.arange(-CONTEXT, 0), np.arange(GRAM, GRAM + CONTEXT)])[None, :]
+    inside = (at >= starts[line][:, None]) & (at < ends[line][:, None])
+    c = chars[np.where(inside, at, 0)]
+    return np.where(inside, (c ^ c >> 8) & 0xFF, 0).astype(np.uint8)
 
 
 def whole_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -224,12 +290,6 @@ def _blobs(table: pa.Table, name: str) -> list[np.ndarray]:
     return [unpacked(x.as_buffer()) for chunk in table.column(name).chunks for x in chunk if x.is_valid]
 
 
-def _distinct(column: str, t: pa.Table, many: bool = False) -> np.ndarray:
-    found = _blobs(t, column)
-    keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
-    return np.unique(keys[1:][keys[1:] == keys[:-1]]) if many else np.unique(keys)
-
-
 def _member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(keys), bool)
@@ -293,20 +353,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     seen = materialize(base.select(F.col("_id").alias("id"), "_row", F.col("_part").cast("long"), "_text").mapInArrow(occurrences, StructType(fields)), "line-places")
     rank = F.struct(F.col("id").isNull().alias("z"), "id", "row", "line", "part", "place")
     owners = seen.groupBy("node").agg(F.min(rank).alias("o")).select(F.col("o.part").cast("int").alias("_part"), F.col("o.place").alias("place"), F.lit(None).cast("binary").alias("found")).repartition(n, "_part")
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    bits = min(64, KEY_BITS + n.bit_length())
+    cut_key = lambda keys: keys >> np.uint64(64 - bits)
+    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
 
     def emit(t: pa.Table, r: pa.Table) -> pa.Table:
         index, more, probe = [], [], []
         for _, hashes, starts, ends, _ in _owned_lines(t, r) if len(t) else ():
             (own, _), (asked, _) = line_keys(hashes, starts, ends)
-            index.append(own)
-            probe.append(asked)
-            (own, _), (asked, _) = long_keys(hashes, starts, ends)
-            index.append(own)
-            probe.append(asked)
+            index.append(cut_key(own))
+            probe.append(cut_key(asked))
+            own, asked = long_keys(hashes, starts, ends)
+            index.append(cut_key(own["key"]))
+            # a key that the line itself has in the index says nothing of other lines
+            told = lambda x: mixed(x["key"] ^ mixed(x["line"].astype(np.uint64)))
+            probe.append(distinct(cut_key(asked["key"][~_member(told(asked), np.sort(told(own)))])))
         none = np.zeros(0, np.uint64)
         index, counts = np.unique(np.concatenate([none, *index]), return_counts=True)
-        sent = {"once": index[counts == 1], "more": index[counts > 1], "probe": np.unique(np.concatenate([none, *probe]))}
+        sent = {"once": index[counts == 1], "more": index[counts > 1], "probe": distinct(np.concatenate([none, *probe]))}
         cuts = {k: np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for k, x in sent.items()}
         rows = [(b, *(packed(sent[k][cuts[k][b] : cuts[k][b + 1]]) for k in sent)) for b in range(buckets)]
         rows = [x for x in rows if any(x[1:])]
@@ -314,60 +378,62 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int32()), "_part": pa.array([part] * len(rows), pa.int32()), **{k: pa.array([x[1 + i] for x in rows], pa.binary()) for i, k in enumerate(sent)}})
 
     def match(t: pa.Table) -> pa.Table:
-        many = np.union1d(_distinct("more", t), _distinct("once", t, many=True))
-        any_index = np.union1d(_distinct("more", t), _distinct("once", t))
-        good = np.union1d(many, np.intersect1d(any_index, _distinct("probe", t), assume_unique=True))
-        out = []
-        for once, more, probe in zip(*(_blobs(t, k) for k in ("once", "more", "probe"))):
-            mine = np.unique(np.concatenate([once, more, probe]))
-            out.append(packed(mine[_member(mine, good)]))
+        blobs = [_blobs(t, k) for k in ("once", "more", "probe")]
+        keys = np.sort(np.concatenate(blobs[0] + blobs[1]))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        met = np.diff(np.append(np.flatnonzero(new), len(keys))) > 1
+        keys = keys[new]
+        for x in (*blobs[1], *blobs[2]):
+            at = np.searchsorted(keys, x)
+            at[at == len(keys)] = 0
+            met[at[keys[at] == x] if len(keys) else at[:0]] = True
+        good, out = keys[met], []
+        for parts_ in zip(*blobs):
+            out.append(packed(distinct(np.concatenate([x[_member(x, good)] for x in parts_]))))
         sent = pa.table({"_part": t.column("_part"), "place": pa.nulls(len(t), pa.int64()), "found": pa.array(out, pa.binary())})
         return sent.filter(pa.array([bool(x) for x in out], pa.bool_()))
 
     def write(t: pa.Table, r: pa.Table) -> pa.Table:
         found = np.sort(np.concatenate([np.zeros(0, np.uint64), *_blobs(r, "found")]))
-        keys, nodes, index, texts, sizes = [], [], [], [], []
+        out: dict[str, list] = {k: [] for k in ("key", "node", "index", "size", "place", "segment", "left", "right")}
+        texts: list = []
         for chars, hashes, starts, ends, node in _owned_lines(t, r) if len(t) else ():
             for role, (key, line) in enumerate(line_keys(hashes, starts, ends)):
+                key = cut_key(key)
                 hit = _member(key, found)
                 # a line that probes with one key at several places is one row
                 both = np.unique(np.stack([key[hit], line[hit].astype(np.uint64)], 1), axis=0)
-                keys.append(both[:, 0].view(np.int64))
                 line = both[:, 1].astype(np.int64)
-                nodes.append(node[line])
-                index.append(np.full(len(line), role == 0))
+                none = np.full(len(line), -1)
+                for k, x in zip(out, (both[:, 0].view(np.int64), node[line], np.full(len(line), role == 0), ends[line] - starts[line], none, none, none, none)):
+                    out[k].append(x)
                 texts += [chars[a:b].tobytes() for a, b in zip(starts[line].tolist(), ends[line].tolist())]
-                sizes.append(ends[line] - starts[line])
-            met_long = []
-            for role, (key, line) in enumerate(long_keys(hashes, starts, ends)):
+            for role, rows in enumerate(long_keys(hashes, starts, ends)):
+                key = cut_key(rows["key"])
                 hit = _member(key, found)
-                key, line = key[hit], line[hit]
-                keys.append(key.view(np.int64))
-                nodes.append(node[line])
-                index.append(np.full(len(line), role == 0))
-                texts += [None] * len(line)
-                sizes.append(ends[line] - starts[line])
-                met_long.append(line)
-            # long lines give their text once, in a row without a size
-            line = np.unique(np.concatenate(met_long))
-            keys.append(np.zeros(len(line), np.int64))
-            nodes.append(node[line])
-            index.append(np.zeros(len(line), bool))
-            texts += [chars[a:b].tobytes() for a, b in zip(starts[line].tolist(), ends[line].tolist())]
-            sizes.append(np.zeros(len(line), np.int64))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"key": join(keys, np.int64), "node": join(nodes, np.int64), "index": join(index, bool), "chars": pa.array(texts, pa.binary()), "size": join(sizes, np.int64)})
+                line, place, none = rows["line"][hit], rows["place"][hit], np.full(int(hit.sum()), -1)
+                for k, x in zip(out, (key[hit].view(np.int64), node[line], np.full(len(line), role == 0), ends[line] - starts[line], place, *(rows[k][hit] if role == 0 else none for k in ("segment", "left", "right")))):
+                    out[k].append(x)
+                around = contexts(chars, starts, ends, line, place).tobytes()
+                texts += [around[x : x + 2 * CONTEXT] for x in range(0, len(around), 2 * CONTEXT)]
+        kinds = {"index": pa.bool_(), "key": pa.int64(), "node": pa.int64()}
+        held = {k: pa.array(np.concatenate(x) if x else [], kinds.get(k, pa.int32())) for k, x in out.items()}
+        return pa.table({**held, "chars": pa.array(texts, pa.binary())})
 
     hashed = d.groupBy("_part").cogroup(owners.groupBy("_part")).applyInArrow(emit, "bucket int, _part int, once binary, more binary, probe binary")
     found = hashed.groupBy("bucket").applyInArrow(match, "_part int, place long, found binary").repartition(n, "_part")
-    met = d.groupBy("_part").cogroup(owners.unionByName(found).groupBy("_part")).applyInArrow(write, "key long, node long, index boolean, chars binary, size long")
+    met = d.groupBy("_part").cogroup(owners.unionByName(found).groupBy("_part")).applyInArrow(write, "key long, node long, index boolean, size int, place int, segment int, left int, right int, chars binary")
     met = materialize(met, "line-candidates", "zstd")
-    short = met.filter("chars is not null and size > 0")
-    dealt = tiles(short, ["key"], "node", PART_ROWS).select("key", "tile", "node", "index", "chars", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
-    links = dealt.mapInArrow(_verify, "node long, links long, root long")
-    dealt = tiles(met.filter("chars is null").drop("chars"), ["key"], "node", PART_ROWS).select("key", "tile", "node", "index", "size", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
+    dealt = tiles(met.filter("place < 0"), ["key"], "node", PART_ROWS).select("key", "tile", "node", "index", "chars", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
+    links = dealt.mapInArrow(partial(_verify, bits), "node long, links long, root long")
+    dealt = tiles(met.filter("place >= 0"), ["key"], "node", LONG_ROWS).select("key", "tile", "node", "index", "size", "place", "segment", "left", "right", "chars", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
     pairs = materialize(dealt.mapInArrow(_pairs, "u long, v long").distinct(), "line-pairs")
-    held = met.filter("size = 0").groupBy("node").agg(F.any_value("chars").alias("chars"))
+    # the texts of lines in pairs, from the rows that own them
+    ask = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(seen.groupBy("node").agg(F.min(rank).alias("o")), "node")
+    ask = ask.groupBy(F.col("o.part").cast("int").alias("_part"), F.col("o.row").alias("_row")).agg(F.collect_list(F.struct(F.col("o.line").alias("line"), "node")).alias("_asked"))
+    held = base.select("_part", "_row", "_text").join(ask, ["_part", "_row"]).select("_text", "_asked").mapInArrow(_asked_lines, "node long, chars binary").groupBy("node").agg(F.any_value("chars").alias("chars"))
+    held = materialize(held, "line-texts", "zstd")
     pairs = pairs.join(held.select(F.col("node").alias("u"), F.col("chars").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("chars").alias("b")), "v")
     links = materialize(links.unionByName(pairs.select("u", "v", "a", "b").mapInArrow(_verify_pairs, "node long, links long, root long")), "line-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -403,7 +469,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return d.groupBy("_part").cogroup(by_row.groupBy("_part")).applyInArrow(cut, schema).select("_doc.*", *added)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, characters) of the lines that are asked of each text."""
+    for batch in batches:
+        nodes, chars = [], []
+        for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = text.split("\n")
+            nodes += [x["node"] for x in asked]
+            chars += [lines[x["line"]].encode("utf-32-le") for x in asked]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(chars, pa.binary())], ["node", "chars"])
+
+
+def _verify(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within tiles of lines that share a key: (node, links, root), root the smallest node reached here."""
     from docstrata.llm.components import Union
 
@@ -435,7 +512,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         k = _first_segment(chars[a], chars[b], edits)
                         p, m = segments(np.int64(len(chars[a])), edits)[k]
                         own_key = _key(RangeHash(mixed(chars[a].astype(np.uint64)))(np.array([p]), np.array([p + m])), np.array([len(chars[a])]), k)[0]
-                        if own_key == key[i]:
+                        if own_key >> np.uint64(64 - bits) == key[i]:
                             done.add((which[a], which[b]))
                             links[which[a]] += 1
                             links[which[b]] += 1
@@ -446,46 +523,56 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "links", "root"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u the shorter line or the smaller node, v) of long lines that share an index key and may be linked."""
+def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs (u the shorter line or the smaller node, v) of long lines that share a whole segment where it may stand."""
+    beside = np.concatenate([np.arange(CONTEXT, 0, -1), np.arange(1, CONTEXT + 1)])
     for block in sorted_blocks(batches, 2):
         starts = run_starts(block, 2)
-        tile, node, own, parts, index, size = (block.column(k).to_numpy() for k in ("tile", "node", "own", "parts", "index", "size"))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            first = i + np.flatnonzero(index[i:j])
-            if j - i < 2 or not len(first):
-                continue
-            longer = size[None, i:j] - size[first][:, None]
-            o = own[i:j]
-            fit = (longer >= 0) & (longer <= edits_allowed(size[first])[:, None]) & (node[first][:, None] != node[None, i:j])
+        tile, node, own, parts, index, size, place, segment, left, right = (block.column(k).to_numpy().astype(np.int64) for k in ("tile", "node", "own", "parts", "index", "size", "place", "segment", "left", "right"))
+        around = np.frombuffer(b"".join(block.column("chars").to_pylist()), np.uint8).reshape(-1, 2 * CONTEXT)
+        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        first = np.flatnonzero(index)
+        counts = np.diff(starts)[run[first]]
+        first, counts = first[counts > 1], counts[counts > 1]
+        cuts = np.unique(np.append(np.searchsorted(np.cumsum(counts), np.arange(0, int(counts.sum()), most)), len(first)))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            a = np.repeat(first[x:y], counts[x:y])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(counts[x:y]) - counts[x:y], counts[x:y]) + starts[run[a]]
+            longer, edits, i = size[b] - size[a], edits_allowed(size[a]), segment[a]
+            moved = place[b] - place[a]
+            ok = (longer >= 0) & (longer <= edits) & (node[a] != node[b])
+            ok &= (moved >= np.maximum(-i, longer - edits + i)) & (moved <= np.minimum(i, longer + edits - i))
             # two rows of one part meet in every tile of the part; the one with itself counts
-            fit &= (own[first][:, None] != o[None, :]) | ((o * parts[i] + o)[None, :] == tile[i])
-            a, b = np.nonzero(fit)
-            a, b = first[a], i + b
+            ok &= (own[a] != own[b]) | (own[a] * parts[a] + own[a] == tile[a])
+            a, b = a[ok], b[ok]
+            inside = np.where(np.arange(2 * CONTEXT) < CONTEXT, beside <= left[a][:, None], beside <= right[a][:, None])
+            ok = ((around[a] == around[b]) | ~inside).all(1)
+            a, b = a[ok], b[ok]
             swap = (size[a] == size[b]) & (node[a] > node[b])
-            us.append(np.where(swap, node[b], node[a]))
-            vs.append(np.where(swap, node[a], node[b]))
-        found = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
+            found = np.unique(np.stack([np.where(swap, node[b], node[a]), np.where(swap, node[a], node[b])], 1), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
 
 
-def _bins(chars: np.ndarray) -> np.ndarray:
-    at = np.arange(len(chars) - BIN_GRAM + 1)
-    grams = mixed(RangeHash(chars.astype(np.uint64))(at, at + BIN_GRAM))
-    return np.bincount((grams % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+def _bins(texts: list[np.ndarray]) -> np.ndarray:
+    """A row for each text: how many of its grams of BIN_GRAM characters fall in each of BINS."""
+    sizes = np.array([len(x) for x in texts])
+    row = np.repeat(np.arange(len(texts)), np.maximum(sizes - BIN_GRAM + 1, 0))
+    at = gather(np.arange(int(sizes.sum())), np.cumsum(sizes) - sizes, np.maximum(sizes - BIN_GRAM + 1, 0))
+    grams = mixed(RangeHash(np.concatenate(texts).astype(np.uint64))(at, at + BIN_GRAM))
+    return np.bincount(row * BINS + (grams % np.uint64(BINS)).astype(np.int64), minlength=len(texts) * BINS).reshape(-1, BINS)
 
 
-def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_pairs(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
     """Links of pairs with their texts: (node, 1, root) for both lines of a pair within its edits."""
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for u, v, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            a, b = (np.frombuffer(z.as_buffer(), "<u4") for z in (x, y))
-            most = int(edits_allowed(len(a)))
+    for whole in batches:
+        for batch in (whole.slice(k, most) for k in range(0, whole.num_rows, most)):
+            u, v = (batch.column(k).to_numpy() for k in (0, 1))
+            x, y = ([np.frombuffer(z.as_buffer(), "<u4") for z in batch.column(k)] for k in (2, 3))
+            allowed = edits_allowed(np.array([len(a) for a in x]))
             # an edit takes away and adds BIN_GRAM grams at most
-            if np.abs(_bins(a) - _bins(b)).sum() <= 2 * BIN_GRAM * most and whole_edits(a, b, most) <= most:
-                out += [(u, 1, min(u, v)), (v, 1, min(u, v))]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "links", "root"])
+            near = np.abs(_bins(x) - _bins(y)).sum(1) <= 2 * BIN_GRAM * allowed
+            hit = np.array([k for k in np.flatnonzero(near).tolist() if whole_edits(x[k], y[k], int(allowed[k])) <= allowed[k]], np.int64)
+            if len(hit):
+                root = np.minimum(u, v)[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[hit], v[hit]])), pa.array(np.ones(2 * len(hit), np.int64)), pa.array(np.concatenate([root, root]))], ["node", "links", "root"])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from docstrata.llm.textbytes import RangeHash, gather, hash_bytes, mixed, row_blocks, string_array, text_bytes, word_spans
+from docstrata.llm.textbytes import RangeHash, distinct, gather, hash_bytes, mixed, row_blocks, string_array, text_bytes, word_spans
 
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
@@ -97,7 +97,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def count(t: pa.Table) -> pa.Table:
         once, more = _blobs(t, "once"), _blobs(t, "more")
         keys = np.sort(np.concatenate(once + more))
-        again = np.unique(np.concatenate([keys[1:][keys[1:] == keys[:-1]], *more]))
+        again = distinct(np.concatenate([keys[1:][keys[1:] == keys[:-1]], *more]))
         out = []
         for x, y in zip(once, more):
             at = np.searchsorted(again, x)

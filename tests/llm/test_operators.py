@@ -464,3 +464,36 @@ def test_line_dedup_of_long_lines(spark):
     one = "The committee met on Tuesday in the old town hall and spoke for two hours about the bridge, the road and the school, before it was told that there was no money left for any of these plans this year."
     docs = spark.createDataFrame([(1, one), (2, one.replace("committee", "assembly"))], "doc_id long, text string")
     assert [r["n_removed"] for r in dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_line_dedup_finds_every_pair_within_its_edits(spark):
+    """Long lines with as many edits as they allow, spread, at one place, at the ends, and only insertions or deletions."""
+    from docstrata.llm.lines import dedup_lines, edits_allowed, whole_edits
+
+    rnd = random.Random(11)
+    letters = "abcdefghij ß"
+    lines: list[str] = []
+    for length in [60, 61, 79, 80, 119, 190, 199, 200, 205, 210, 260, 379, 380, 395, 400, 402, 640, 1300, 2600]:
+        base = "".join(rnd.choice(letters) for _ in range(length - 2)).join("xy")
+        lines.append(base)
+        for kind in range(6):
+            most = edits_allowed(length) + (kind == 5)
+            x, spots = list(base), sorted(rnd.sample(range(length), most), reverse=True)
+            if kind == 1:
+                spots = [length // 2] * most
+            if kind == 2:
+                spots = [k * length // (most + 1) for k in range(most, 0, -1)]
+            for p in spots:
+                what = 1 if kind == 3 else 2 if kind == 4 else rnd.randrange(3)
+                x[p : p + (what != 1)] = [] if what == 2 else [rnd.choice("QRST")]
+            lines.append("".join(x))
+    coded = [np.array([ord(c) for c in x]) for x in lines]
+    links = [0] * len(lines)
+    for i, a in enumerate(coded):
+        for j, b in enumerate(coded[:i]):
+            most = edits_allowed(min(len(a), len(b)))
+            if lines[i] != lines[j] and abs(len(a) - len(b)) <= most and whole_edits(a, b, most) <= most:
+                links[i] += 1
+                links[j] += 1
+    got = {r["doc_id"]: r["n_links"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(lines))] == links and sum(links) > 100
