@@ -9,6 +9,7 @@ lines, without the parts that its markup names as something else, so that short
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +31,8 @@ _NAMES = r"(?:nav|navbar|navigation|menu|menubar|sidebar|side-bar|aside|footer|m
 _FORMS = r"(?:area|bar|block|body|bottom|box|button|buttons|cards?|col|column|container|fixed|footer|form|global|header|holder|inner|item|items|left|links?|list|main|mobile|outer|overlay|page|panel|placeholder|posts?|primary|right|row|secondary|section|site|slot|sticky|text|top|unit|wrap|wrapper)"
 PART = re.compile(rf"[^a-z]*(?:(?P<name>{_NAMES})|{_FORMS})(?=[^a-z]|$)[^a-z]*")
 SIGMA, REACH = 1.0, 2
+#: An article or main element is a root of the text if it holds this share of the upper cluster's text.
+ROOT_SHARE = 0.2
 FEED = 1 << 16
 
 
@@ -45,16 +48,22 @@ def names_aside(token: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, path of containers, set aside by markup). Containers set aside by name alone are in ``named``."""
+    """Collects lines: (text, tags, innermost container, set aside by markup). Containers set aside by name alone are in ``named``.
+
+    Containers are numbered as they open, 0 is the page; ``parents`` has the one around each, a smaller number. What
+    is open is counted, so the time is linear in the page however deep its elements are nested.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # element, its number, whether it is set aside
-        self.apart = self.hidden = self.number = self.tags = 0
+        self.apart = self.tags = self.in_articles = 0
+        self.parents = [0]
+        self.open: Counter[str] = Counter()
         self.unseen: list[str] = []
         self.parts: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.articles: dict[int, None] = {}
+        self.lines: list[tuple[str, int, int, bool]] = []
+        self.articles: set[int] = set()
         self.named: set[int] = set()
         self.bodies: set[int] = set()
 
@@ -63,7 +72,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, max(1, self.tags), tuple(n for _, n, _ in self.stack), self.apart > 0))
+                self.lines.append((text, max(1, self.tags), self.stack[-1][1] if self.stack else 0, self.apart > 0))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -85,17 +94,19 @@ class _Lines(HTMLParser):
         self.flush()
         if tag in CONTAINERS:
             held = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-            inside = any(n in self.articles for _, n, _ in self.stack)
-            apart = tag in ASIDE or tag == "header" and not inside or held.get("role") in ROLES or "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "")
+            apart = tag in ASIDE or tag == "header" and not self.in_articles or held.get("role") in ROLES or "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "")
             apart = apart or tag == "article" and bool(re.search(r"(?:^|[^a-z])(?:comments?|repl(?:y|ies)|ads?|teaser|related)(?:$|[^a-z])", f"{held.get('class', '')} {held.get('id', '')}"))
-            self.number += 1
+            number = len(self.parents)
+            self.parents.append(self.stack[-1][1] if self.stack else 0)
             if not apart and tag not in ("body", "article", "main") and any(map(names_aside, f"{held.get('class', '')} {held.get('id', '')}".split())):
-                self.named.add(self.number)
+                self.named.add(number)
             if tag in ARTICLES and not apart:
-                self.articles[self.number] = None
+                self.articles.add(number)
+                self.in_articles += 1
             if tag == "body":
-                self.bodies.add(self.number)
-            self.stack.append((tag, self.number, apart))
+                self.bodies.add(number)
+            self.stack.append((tag, number, apart))
+            self.open[tag] += 1
             self.apart += apart
 
     def handle_endtag(self, tag: str) -> None:
@@ -107,10 +118,12 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
-        if tag in CONTAINERS and tag not in ("body",) and any(t == tag for t, _, _ in self.stack):
+        if tag in CONTAINERS and tag not in ("body",) and self.open[tag]:
             while True:
-                t, _, apart = self.stack.pop()
+                t, number, apart = self.stack.pop()
+                self.open[t] -= 1
                 self.apart -= apart
+                self.in_articles -= number in self.articles
                 if t == tag:
                     break
 
@@ -146,30 +159,49 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values >= (low + high) / 2
 
 
-def _set_aside(parser: _Lines, lines: list[tuple[str, int, tuple[int, ...], bool]]) -> set[int]:
+def _sums(parents: list[int], lines: list[tuple[str, int, int, bool]], values: list[int]) -> list[int]:
+    """The sum over the lines in each container, itself and what it holds."""
+    out = [0] * len(parents)
+    for x, v in zip(lines, values):
+        out[x[2]] += v
+    for c in range(len(parents) - 1, 0, -1):
+        out[parents[c]] += out[c]
+    return out
+
+
+def _within(parents: list[int], some: set[int]) -> list[bool]:
+    """Whether each container is one of ``some`` or inside of one."""
+    out = [0 in some] * len(parents)
+    for c in range(1, len(parents)):
+        out[c] = c in some or out[parents[c]]
+    return out
+
+
+def _regions(lines: list[tuple[str, int, int, bool]]) -> list[bool]:
+    """Which lines lie where the smoothed ratio of text to tags is in its upper cluster."""
+    return upper_cluster(smooth(np.array([len(text) / tags for text, tags, _, _ in lines]))).tolist()
+
+
+def _set_aside(parser: _Lines, lines: list[tuple[str, int, int, bool]]) -> set[int]:
     """The containers that are left out for their names: not those that hold the article.
 
     A container holds it if most of the upper cluster's text is in an article or main element of it. Where no such
     element with text stands outside of named containers, any article or main element counts, or most of that text and
     of the page's.
     """
-    if not any(parser.named.intersection(x[2]) for x in lines):
+    parents = parser.parents
+    if not parser.named:
         return set()
-    inside = upper_cluster(smooth(np.array([len(text) / tags for text, tags, _, _ in lines])))
-    whole = sum(len(x[0]) for x, ok in zip(lines, inside) if ok)
-    every = sum(len(x[0]) for x in lines)
-    size: dict[int, int] = {}  # text of the upper cluster by container
-    full: dict[int, int] = {}  # all text by container
-    above: dict[int, tuple[int, ...]] = {}  # containers around an article element with text
-    for x, ok in zip(lines, inside):
-        for k, c in enumerate(x[2]):
-            size[c] = size.get(c, 0) + ok * len(x[0])
-            full[c] = full.get(c, 0) + len(x[0])
-            if c in parser.articles:
-                above[c] = x[2][:k]
-    free = any(not parser.named.intersection(path) for path in above.values())
-    held = {c for a, path in above.items() if not free or 2 * size[a] > whole for c in path}
-    return {c for c in parser.named if c not in held and (free or 2 * size.get(c, 0) <= whole or 2 * full.get(c, 0) <= every)}
+    sizes = [len(x[0]) for x in lines]
+    size = _sums(parents, lines, [n * ok for n, ok in zip(sizes, _regions(lines))])  # text of the upper cluster by container
+    full = _sums(parents, lines, sizes)
+    named = _within(parents, parser.named)
+    free = any(full[a] and not named[a] for a in parser.articles)
+    holds = [False] * len(parents)
+    for c in range(len(parents) - 1, 0, -1):
+        article = c in parser.articles and full[c] > 0 and (not free or 2 * size[c] > size[0])
+        holds[parents[c]] = holds[parents[c]] or holds[c] or article
+    return {c for c in parser.named if not holds[c] and (free or 2 * size[c] <= size[0] or 2 * full[c] <= full[0])}
 
 
 def main_text(html: str | None) -> str:
@@ -177,44 +209,52 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    for i in range(0, len(html), FEED):
-        parser.feed(html[i : i + FEED])
+    i = 0
+    while i < len(html):
+        step = max(FEED, len(parser.rawdata))  # what the parser still holds, an open comment say, is gone through again
+        parser.feed(html[i : i + step])
+        i += step
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[3]]
+    lines, parents = [x for x in parser.lines if not x[3]], parser.parents
     if not lines:
         return ""
-    named = _set_aside(parser, lines)
-    lines = [x for x in lines if not named.intersection(x[2])]
+    apart = _within(parents, _set_aside(parser, lines))
+    lines = [x for x in lines if not apart[x[2]]]
     if not lines:
         return ""
-    ratios = smooth(np.array([len(text) / tags for text, tags, _, _ in lines]))
-    inside = upper_cluster(ratios)
-    size = np.array([len(x[0]) for x in lines])
-    whole = size[inside].sum()
-    roots = {a for a in parser.articles if sum(int(n) for n, x, ok in zip(size, lines, inside) if ok and a in x[2]) >= 0.2 * whole}
+    marks = _regions(lines)
+    size = _sums(parents, lines, [len(x[0]) * ok for x, ok in zip(lines, marks)])
+    roots = {a for a in parser.articles if size[a] >= ROOT_SHARE * size[0]}
     if roots:
-        kept = [bool(roots.intersection(path)) for _, _, path, _ in lines]
+        inside = _within(parents, roots)
+        kept = [inside[x[2]] for x in lines]
     else:
         # the lowest element that holds all marked lines; of the whole page, what lies between the first, with a line
         # before it in the same element, and the last of them
-        paths = [x[2] for x, ok in zip(lines, inside) if ok]
-        shared = set(paths[0]).intersection(*paths[1:])
-        marked = np.flatnonzero(inside)
-        first, last = int(marked[0]), int(marked[-1])
-        if shared - parser.bodies:
+        count = _sums(parents, lines, [int(ok) for ok in marks])
+        lowest = max(c for c, n in enumerate(count) if n == count[0])
+        inside = _within(parents, {lowest})
+        marked = [k for k, ok in enumerate(marks) if ok]
+        first, last = marked[0], marked[-1]
+        above, c = set(), lowest
+        while c:
+            above.add(c)
+            c = parents[c]
+        if above - parser.bodies:
             first, last = 0, len(lines) - 1
         elif first and lines[first - 1][2] == lines[first][2]:
             first -= 1
-        kept = [first <= k <= last and shared <= set(x[2]) for k, x in enumerate(lines)]
+        kept = [first <= k <= last and inside[x[2]] for k, x in enumerate(lines)]
     return "\n".join(x[0] for x, ok in zip(lines, kept) if ok)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: its id, url and text (the article's blocks in page order, joined by a line feed).
 
-    Every page gives one row, whatever it repeats; a null or empty html gives an empty text. Other columns are left
-    out. Pages are read whole; a task holds one batch of rows.
+    Every page gives one row, whatever it repeats; a null or empty html gives an empty text, an empty table no row.
+    Other columns, whatever their names, are left out. Pages are read whole, in time linear in their length however
+    deep their elements are nested; a task holds one batch of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
