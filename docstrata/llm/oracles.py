@@ -23,17 +23,12 @@ FROM w LEFT JOIN (
 
 def op5() -> str:
     """Base figures from words and lines, cutoffs from the labels as the operator chooses them."""
-    from docstrata.llm.quality import DELTA, RISK, RULES
+    from docstrata.llm.quality import DELTA, RISK, RULES, STEPS
 
-    share = RISK / len(RULES)
     figures = ", ".join(f"{sign} * {sql.split(' / ')[0]} / nullif(CAST({sql.split(' / ')[1]} AS DOUBLE), 0) AS f_{r}" for r, (sql, sign, _) in RULES.items())
-    tests = [(r, k, cut, sign * cut) for r, (_, sign, cuts) in RULES.items() for k, cut in enumerate(cuts)]
-    counts = " UNION ALL ".join(
-        f"SELECT stratum, '{r}' AS rule, {k} AS k, {cut} AS cut, count(*) FILTER (WHERE good = 1) AS n, "
-        f"count(*) FILTER (WHERE good = 1 AND f_{r} > {signed}) AS lost, count(*) FILTER (WHERE good = 0 AND f_{r} > {signed}) AS caught FROM held GROUP BY stratum"
-        for r, k, cut, signed in tests
-    )
-    strict = " OR ".join(f"coalesce(f_{r} > {sign} * (SELECT cut FROM best b WHERE b.stratum IS NOT DISTINCT FROM m.lang AND rule = '{r}'), false)" for r, (_, sign, _) in RULES.items())
+    steps = "least(" + ", ".join("CASE " + " ".join(f"WHEN f_{r} > {sign * cut} THEN {STEPS.index((r, k))}" for k, cut in enumerate(cuts)) + " END" for r, (_, sign, cuts) in RULES.items()) + ")"
+    cut = {r: "CASE " + " ".join(f"WHEN step >= {STEPS.index((r, k))} THEN {c}" for k, c in reversed(list(enumerate(cuts)))) + " END" for r, (_, _, cuts) in RULES.items()}
+    strict = " OR ".join(f"coalesce(f_{r} > {sign} * ({cut[r]}), false)" for r, (_, sign, _) in RULES.items())
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS ws,
@@ -55,14 +50,19 @@ b AS (
   FROM w LEFT JOIN rep USING (doc_id)),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {figures} FROM b),
 marks AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT m.*, lang AS stratum, good FROM m JOIN marks USING (doc_id) WHERE NOT base_failed),
-tests AS ({counts}),
-passed AS (
-  SELECT * FROM tests t WHERE lost <= {share} * n AND caught > 0
-    AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))
-         FROM (SELECT unnest(range(0, t.lost + 1)) AS i)) <= {DELTA} / ({len(tests)} * (SELECT count(DISTINCT coalesce(stratum, '')) FROM held))),
-best AS (SELECT stratum, rule, arg_max(cut, caught * 100 - k) AS cut FROM passed GROUP BY stratum, rule)
+held AS (SELECT lang AS stratum, {steps} AS step, good FROM m JOIN marks USING (doc_id) WHERE NOT base_failed),
+sizes AS (SELECT stratum, count(*) FILTER (WHERE good = 1) AS n, count(*) OVER () AS strata FROM held GROUP BY stratum),
+tests AS (
+  SELECT h.stratum, step, n, strata, sum(lost) OVER s AS lost, sum(caught) OVER s AS caught
+  FROM (SELECT stratum, step, count(*) FILTER (WHERE good = 1) AS lost, count(*) FILTER (WHERE good = 0) AS caught FROM held WHERE step IS NOT NULL GROUP BY ALL) h
+  JOIN sizes z ON h.stratum IS NOT DISTINCT FROM z.stratum
+  WINDOW s AS (PARTITION BY h.stratum ORDER BY step)),
+safe AS (
+  SELECT *, min(CAST(lost <= {RISK} * n AND p <= {DELTA} / strata AS INT)) OVER (PARTITION BY stratum ORDER BY step) AS ok
+  FROM (SELECT *, (SELECT sum(exp(lgamma(t.n + 1) - lgamma(i + 1) - lgamma(t.n - i + 1) + i * ln({RISK}) + (t.n - i) * ln(1 - {RISK})))
+                   FROM (SELECT unnest(range(0, CAST(t.lost AS BIGINT) + 1)) AS i)) AS p FROM tests t)),
+best AS (SELECT stratum, arg_max(step, caught * 100 - step) AS step FROM safe WHERE ok = 1 AND caught > 0 GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ({strict}) AS kept, n_lines
-FROM m
+FROM m LEFT JOIN best b ON b.stratum IS NOT DISTINCT FROM m.lang
 """

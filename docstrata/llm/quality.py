@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
-``measure`` adds the figures of each text. ``calibrate`` looks at labelled documents: in each stratum (a language)
-and for each rule it counts, for every cutoff of a fixed grid, how many good documents the cutoff rejects. A cutoff
-is certified if the exact binomial test refutes that the rule's false rejection rate is above its share of ``risk``,
-at a level that the Bonferroni correction divides among all strata, rules and cutoffs. Of the certified cutoffs the
-one that rejects most bad documents is taken, the mildest among equals; a rule that rejects none stays unused.
-So with probability 1 - ``delta`` no stratum loses more than ``risk`` of its good documents.
+``measure`` adds the figures of each text. ``calibrate`` looks at labelled documents in each stratum (a language). The
+cutoffs of all rules form one fixed sequence from mild to strict: each step makes one rule stricter by a step of its
+grid. For each step it counts how many good documents all rules together reject. The exact binomial test must refute
+that this rate is above ``risk``; the sequence ends at the first step where it can't, so no correction for the number
+of steps is needed, and the level is divided among the strata. Of the certified steps the one that rejects most bad
+documents is taken, the mildest among equals. So with probability 1 - ``delta`` no stratum loses more than ``risk`` of
+its good documents. A stratum needs log(delta / strata) / log(1 - risk) good documents for a first step that loses none.
 """
 
 from __future__ import annotations
@@ -84,6 +85,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
+#: The fixed sequence: (rule, number of its cutoff), the mildest cutoffs of all rules first.
+STEPS = sorted(((r, k) for r, (_, _, cuts) in RULES.items() for k in range(len(cuts))), key=lambda x: (x[1], list(RULES).index(x[0])))
+
+
 def _figure(rule: str) -> Column:
     """The rule's figure, signed so that high values are rejected; null where there is no word or line."""
     sql, sign, _ = RULES[rule]
@@ -108,30 +113,41 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
-    """One row a stratum: ``stratum`` and a certified cutoff of every rule, null where none is certified or useful.
+    """One row a stratum: ``stratum`` and the cutoff of every rule at its certified step, null for rules not used yet.
 
+    Strata in which no step is certified or catches a bad document have no row. A null stratum is one of its own.
     ``labels`` has doc_id and quality (1 good, 0 bad); null qualities don't count, and an id labelled both ways is bad.
     Documents that the base rules reject, or without a label, take no part. Without labels there is no row.
     """
     marks = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good"))
-    figures = measured.filter(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.col(stratum_col).alias("stratum"), *[_figure(r).alias(r) for r in RULES])
-    held = figures.join(marks, "_id").select("stratum", (F.col("_good") == 1).alias("good"), *RULES)
-    # all counts of a stratum in one pass: a row a stratum leaves each task
-    over = {(r, k): F.col(r) > sign * cut for r, (_, sign, cuts) in RULES.items() for k, cut in enumerate(cuts)}
-    counts = held.groupBy("stratum").agg(
-        F.count_if("good").alias("n"),
-        *[F.count_if(F.col("good") & hit).alias(f"{r}_{k}_good") for (r, k), hit in over.items()],
-        *[F.count_if(~F.col("good") & hit).alias(f"{r}_{k}_bad") for (r, k), hit in over.items()],
-    )
-    tests = [F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k"), F.lit(float(RULES[r][2][k])).alias("cut"), F.col(f"{r}_{k}_good").alias("lost"), F.col(f"{r}_{k}_bad").alias("caught")) for r, k in over]
-    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # of a row a stratum
-    table = counts.select("stratum", "n", "strata", F.explode(F.array(*tests)).alias("t")).select("stratum", "n", "strata", "t.*")
-    # a row a stratum and cutoff from here on
-    share = risk / len(RULES)
-    table = table.filter((F.col("lost") <= share * F.col("n")) & (F.col("caught") > 0))
-    table = table.filter(binomial_tail(F.col("lost"), F.col("n"), share) <= delta / (F.col("strata") * len(over)))
-    best = table.groupBy("stratum", "rule").agg(F.max_by("cut", F.struct("caught", -F.col("k"))).alias("cut"))
-    return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut"))
+    step = F.least(*[_first_step(r) for r in RULES])
+    figures = measured.filter(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.col(stratum_col).alias("stratum"), step.alias("step"))
+    held = figures.join(marks, "_id").select("stratum", "step", (F.col("_good") == 1).alias("good"))
+    # a row a stratum and step leaves each task; all that follows is as small
+    counts = held.groupBy("stratum", "step").agg(F.count_if("good").alias("lost"), F.count_if(~F.col("good")).alias("caught"))
+    strata, so_far = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy("step")
+    counts = counts.withColumns({"n": F.sum("lost").over(strata), "strata": F.size(F.collect_set(F.coalesce("stratum", F.lit(""))).over(Window.partitionBy()))})
+    counts = counts.filter("step is not null").withColumns({"lost": F.sum("lost").over(so_far), "caught": F.sum("caught").over(so_far)})
+    safe = F.when(F.col("lost") <= risk * F.col("n"), binomial_tail(F.col("lost"), F.col("n"), risk) <= delta / F.col("strata")).otherwise(False)
+    certified = counts.withColumn("safe", F.min(safe).over(so_far)).filter("safe and caught > 0")
+    best = certified.groupBy("stratum").agg(F.max_by("step", F.struct("caught", -F.col("step"))).alias("step"))
+    return best.select("stratum", *[_cutoff(r).alias(r) for r in RULES])
+
+
+def _first_step(rule: str) -> Column:
+    """The first step of the sequence at which the rule rejects, null if none."""
+    found, (_, sign, cuts) = F.lit(None).cast("int"), RULES[rule]
+    for k in reversed(range(len(cuts))):
+        found = F.when(_figure(rule) > sign * cuts[k], STEPS.index((rule, k))).otherwise(found)
+    return found
+
+
+def _cutoff(rule: str) -> Column:
+    """The rule's cutoff at a step of the sequence, null before its first."""
+    found = F.lit(None).cast("double")
+    for k, cut in enumerate(RULES[rule][2]):
+        found = F.when(F.col("step") >= STEPS.index((rule, k)), float(cut)).otherwise(found)
+    return found
 
 
 def verdict(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:

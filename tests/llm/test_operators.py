@@ -293,9 +293,38 @@ def test_risk_controlled_cutoffs(spark):
     m = measure(docs)
     out = verdict(m, calibrate(m, labels)).groupBy((F.col("doc_id") % 10 == 0).alias("bad")).agg(F.count_if("kept").alias("kept")).collect()
     assert {r["bad"]: r["kept"] for r in out} == {True: 0, False: 18000}
+    few = verdict(m, calibrate(m, labels.limit(300))).groupBy((F.col("doc_id") % 10 == 0).alias("bad")).agg(F.count_if("kept").alias("kept")).collect()
+    assert {r["bad"]: r["kept"] for r in few} == {True: 0, False: 18000}
     assert verdict(m, calibrate(m, labels.limit(0))).filter("kept").count() == 20000
 
 
+def test_cutoffs_as_in_sql(spark):
+    """Strata that certify some, all or no steps, one of them null, some good documents lost."""
+    import duckdb
+
+    from docstrata.llm.oracles import op5
+    from docstrata.llm.quality import calibrate, measure, verdict
+
+    rnd, rows, marks = random.Random(3), [], []
+    for i in range(6000):
+        lang = rnd.choices(["en", "de", None, "fr"], [60, 30, 9, 1])[0]
+        good = rnd.random() < 0.8
+        noise = rnd.choice([0, 0, 0, 1]) if good and lang != "de" else rnd.randint(0, 12)
+        words = [f"w{rnd.randrange(500)}{'x' * rnd.randint(0, 9)}" for _ in range(40)] + ["#$%"] * noise
+        rnd.shuffle(words)
+        rows.append((i, lang, " ".join(words)))
+        marks.append((i, None if i % 97 == 0 else int(good)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    m = measure(docs)
+    cutoffs = {r["stratum"] for r in calibrate(m, labels).collect()}
+    got = {r["doc_id"]: r["kept"] for r in verdict(m, calibrate(m, labels)).select("doc_id", "kept").collect()}
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    db.register("labels", labels.toPandas())
+    expected = {r[0]: r[1] for r in db.execute(f"SELECT doc_id, kept FROM ({op5()})").fetchall()}
+    assert got == expected and cutoffs and not all(got.values()) and "fr" not in cutoffs
+
+
 def test_vectors(spark):
     from docstrata.llm.vectors import near_vectors
 
