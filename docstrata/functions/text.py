@@ -138,26 +138,42 @@ def parse_number(text: Column) -> Column:
     return value * F.when(F.regexp_extract(t, r"-?\d+(?:\.\d+)?\s*(万)?", 1) == "万", 10000.0).otherwise(1.0)
 
 
-# LaTeX: fixed values of the symbol table.
-SYMBOLS = (("\\times", "×"), ("\\cdot", "·"), ("\\leqslant", "≤"), ("\\leq", "≤"), ("\\geqslant", "≥"), ("\\geq", "≥"), ("\\le", "≤"), ("\\ge", "≥"), ("\\pm", "±"), ("\\sim", "~"), ("\\mu", "μ"), ("\\alpha", "α"), ("\\beta", "β"), ("\\%", "%"))
-SUPERSCRIPTS = ("0123456789+-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻")
+# Commands and their signs, in the order in which they are replaced; text commands; raised characters.
+SYMBOLS = (
+    ("\\times", "×"), ("\\cdot", "·"), ("\\div", "÷"),
+    ("\\leq", "≤"), ("\\le", "≤"), ("\\geq", "≥"), ("\\ge", "≥"),
+    ("\\neq", "≠"), ("\\approx", "≈"), ("\\sim", "~"), ("\\pm", "±"),
+    ("\\infty", "∞"), ("\\rightarrow", "→"), ("\\to", "→"),
+    ("\\cdots", "…"), ("\\ldots", "…"), ("\\dots", "…"),
+    ("\\alpha", "α"), ("\\beta", "β"), ("\\gamma", "γ"), ("\\delta", "δ"),
+    ("\\mu", "μ"), ("\\rho", "ρ"), ("\\sigma", "σ"), ("\\lambda", "λ"),
+    ("\\theta", "θ"), ("\\omega", "ω"), ("\\circ", "°"),
+    ("\\%", "%"), ("\\&", "&"), ("\\_", "_"),
+    ("\\quad", " "), ("\\qquad", " "), ("\\,", " "), ("\\;", " "),
+    ("\\:", " "), ("\\!", ""), ("\\ ", " "), ("\\~", " "),
+)
+TEXT_COMMANDS = "mathrm|text|mathbf|mathit|mathsf|mathtt|operatorname|textbf|textit|mbox|textnormal"
+SUPERSCRIPTS = ("0123456789-+", "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺")
 
 
 def latex_to_text(text: Column) -> Column:
-    """Inline formulas as plain text: symbols, fractions, roots, superscripts; other commands and braces dropped."""
-    t = F.coalesce(text, F.lit(""))
-    for command, sign in SYMBOLS:
-        t = F.replace(t, F.lit("{" + command + "}"), F.lit(sign))
-        t = F.replace(t, F.lit(command), F.lit(sign))
-    t = F.regexp_replace(t, r"\\(?:mathrm|text|mathbf|rm|bf)\s*\{([^{}]*)\}", "$1")
+    """A formula, with or without dollar signs around it, as plain text: text commands unwrapped, fractions, roots, powers and symbols; other commands and braces dropped."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\$+|\$+$", "")
+    t = F.regexp_replace(t, r"\\(?:left|right|displaystyle|textstyle|limits|nolimits)\b", "")
+    t = F.regexp_replace(t, r"\^\s*\{\s*\\cdot\s*", "^{-")  # a minus that was read as a dot
+    for _ in range(3):  # commands stand in each other
+        t = F.regexp_replace(t, rf"\\(?:{TEXT_COMMANDS})\s*\{{([^{{}}]*)\}}", "$1")
     t = F.regexp_replace(t, r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "$1/$2")
     t = F.regexp_replace(t, r"\\sqrt\s*\{([^{}]*)\}", "√$1")
-    # the powers are mapped piece by piece: odd pieces of the split are what stood in ^{...}
-    t = F.regexp_replace(t, r"\^\{?([0-9+\-]+)\}?", "\u0001$1\u0002")
+    t = F.regexp_replace(t, r"\^\s*\{([^{}]*)\}", "^$1")
+    # the powers are mapped piece by piece: pieces with an end mark begin with what was raised
+    t = F.regexp_replace(t, r"\^\s*(-?\d+)", "\u0001$1\u0002")
     pieces = F.transform(F.split(t, "\u0001", -1), lambda p: F.when(F.contains(p, F.lit("\u0002")), F.concat(F.translate(F.substring_index(p, "\u0002", 1), *SUPERSCRIPTS), F.substring_index(p, "\u0002", -1))).otherwise(p))
-    t = F.regexp_replace(F.array_join(pieces, ""), r"_\{?([0-9A-Za-z]+)\}?", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\\[,;:! ]", " "), r"\\[A-Za-z]+\s*", "")
-    return collapse(F.regexp_replace(t, r"[{}$]", ""))
+    t = F.regexp_replace(F.array_join(pieces, ""), r"_\s*\{([^{}]*)\}", "$1")
+    t = F.replace(t, F.lit("~"), F.lit(" "))  # a blank that doesn't break
+    for command, sign in SYMBOLS:
+        t = F.replace(t, F.lit(command), F.lit(sign))
+    return collapse(F.regexp_replace(F.regexp_replace(t, r"\\[a-zA-Z]+\b", " "), "[{}]", ""))
 
 
 def markdown_row(cells: Column) -> Column:

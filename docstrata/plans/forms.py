@@ -12,12 +12,13 @@ from docstrata.sources.tables import table
 
 @register("condition_parse", """
 SELECT p_partkey, 'threshold' AS kind, '年产' || p_type AS keyword, CAST(p_size AS DOUBLE) AS value, '吨' AS unit, CASE WHEN p_size % 3 = 0 THEN '<=' ELSE '>=' END AS cmp FROM part
-UNION ALL SELECT p_partkey, 'qualitative', '其他', NULL, NULL, NULL FROM part
+UNION ALL SELECT p_partkey, 'threshold', '或仓库', 10, '平方米', '<=' FROM part
+UNION ALL SELECT p_partkey, 'qualitative', unnest(['其他', '二', '有电镀工艺的']), NULL, NULL, NULL FROM part
 UNION ALL SELECT p_partkey, 'threshold', lower(p_type), p_size + 0.5, '万立方米', '>' FROM part""")
 def condition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditions of rule texts that parts' types and sizes are written into."""
+    """Conditions of rule texts that parts' types and sizes are written into: several a clause, with and without a rest."""
     word = F.when(F.col("p_size") % 3 == 0, "及以下").when(F.col("p_size") % 3 == 1, "及以上").otherwise("")
-    text = F.concat(F.lit("年产"), "p_type", F.lit(" "), F.col("p_size").cast("string"), F.lit("吨（约）"), word, F.lit("；其他；二;"), F.lower("p_type"), (F.col("p_size") + 0.5).cast("string"), F.lit("万立方米大于"))
+    text = F.concat(F.lit("年产"), "p_type", F.lit(" "), F.col("p_size").cast("string"), F.lit("吨（约）"), word, F.lit("或仓库10平方米以下；其他；二;"), F.lower("p_type"), (F.col("p_size") + 0.5).cast("string"), F.lit("万立方米大于，有电镀工艺的"))
     d = table(spark, sf_dir, "part").select("p_partkey", F.explode(C.conditions_of(text)).alias("c"))
     return d.select("p_partkey", "c.kind", "c.keyword", "c.value", "c.unit", "c.cmp")
 

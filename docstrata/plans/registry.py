@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from docstrata.plans import dialogue, documents, forms, graph, retrieval, rules, streams  # noqa: F401
+    from docstrata.plans import audit, dialogue, documents, evidence, forms, graph, retrieval, rules, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -179,22 +179,6 @@ def question_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.quota_buckets(d, "o_custkey", "bucket", {"1": 1, "2": 1, "3": 3}, "5", 5, [F.col("o_orderkey")])
 
 
-@register("monotone_labels", """
-WITH m AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events),
-k AS (SELECT *, m IS NULL OR value > m AS k FROM m), s AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, count(*) FILTER (WHERE k) OVER (PARTITION BY user_id) AS s FROM k)
-SELECT user_id, event_id, value FROM s WHERE k AND s >= greatest(3, n // 20)""")
-def monotone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record values of each user; users that set fewer than max(3, a twentieth of their events) give none."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events")
-    many = Window.partitionBy("user_id")
-    w = many.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = e.withColumn("m", F.max("value").over(w)).withColumn("k", F.col("m").isNull() | (F.col("value") > F.col("m")))
-    d = d.withColumn("n", F.count(F.lit(1)).over(many)).withColumn("s", F.count_if("k").over(many))
-    return d.filter("k and s >= greatest(3, floor(n / 20))").select("user_id", "event_id", "value")
-
-
 @register("span_overlap", r"""
 WITH RECURSIVE h AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[a-z]{3,}')) AS w, text FROM benchmark),
 s AS (SELECT item_id, strpos(text, x) - 1 AS b, strpos(text, x) - 1 + length(x) AS e FROM (SELECT item_id, text, unnest(w) AS x FROM h)),

@@ -99,7 +99,7 @@ def test_conditions(spark):
     from docstrata.functions import conditions as C
 
     got = one(spark, C.conditions_of(F.col("a")), a="年用溶剂型涂料10吨及以上的;其他;二")
-    assert [(c["kind"], c["value"], c["unit"], c["cmp"]) for c in got] == [("threshold", 10.0, "吨", ">="), ("qualitative", None, None, None)]
+    assert [(c["kind"], c["value"], c["unit"], c["cmp"]) for c in got] == [("threshold", 10.0, "吨", ">="), ("qualitative", None, None, None), ("qualitative", None, None, None)]
     got = one(spark, C.conditions_of(F.col("a")), a="锅炉65吨/小时（45.5兆瓦）及以下的")
     assert [(c["keyword"], c["value"], c["unit"], c["cmp"]) for c in got] == [("锅炉", 65.0, "吨/小时", "<=")]
     assert one(spark, C.industry_codes(F.col("a")), a="学校 5000平方米 831、2018年 26") == ["831"]
