@@ -77,7 +77,7 @@ def search(pages: DataFrame, keys: list[str], pattern: str, most: int) -> DataFr
 def candidate_pages(hints: Column, anchor: Column, last: Column, reach: int, most: int) -> Column:
     """Pages to ask about: those of hints first, then those around the anchor, each once, so many at most."""
     low, high = F.greatest(F.lit(1), anchor - reach), F.least(last, anchor + reach)
-    around = F.when(low <= high, F.sequence(low, high))  # a sequence counts down where low is above high
+    around = F.when(anchor.isNotNull() & (low <= high), F.sequence(low, high))  # a sequence counts down where low is above high
     return F.slice(F.array_distinct(F.concat(hints, F.coalesce(around, F.slice(hints, 1, 0)))), 1, most)
 
 

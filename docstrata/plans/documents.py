@@ -185,8 +185,12 @@ def retention_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.select("user_id", "event_id", "place")
 
 
-@register("number_parse", r"""
-SELECT doc_id, CAST(nullif(regexp_extract(text, '(-?\d+(?:\.\d+)?)', 1), '') AS DOUBLE) AS number FROM documents WHERE NOT regexp_matches(text, '\d[,]\d')""")
+_BARE = "text"
+for _ in range(3):  # a digit can end one match and begin the next
+    _BARE = rf"regexp_replace({_BARE}, '(\d)[,，](\d\d\d)', '\1\2', 'g')"
+
+
+@register("number_parse", rf"""
+SELECT doc_id, CAST(nullif(regexp_extract(t, '(-?\d+(?:\.\d+)?)', 1), '') AS DOUBLE) * CASE WHEN regexp_extract(t, '-?\d+(?:\.\d+)?\s*(万)?', 1) = '万' THEN 10000.0 ELSE 1.0 END AS number FROM (SELECT doc_id, {_BARE} AS t FROM documents)""")
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"\d[,]\d"))
-    return d.select("doc_id", T.parse_number(F.col("text")).alias("number"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.parse_number(F.col("text")).alias("number"))

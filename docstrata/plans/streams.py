@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import jsontext
 from docstrata.functions import text as T
 from docstrata.plans.registry import register
-from docstrata.sources.tables import query_result, table
+from docstrata.sources.tables import gold_answers, table
 from docstrata.streaming import events as E
 from docstrata.streaming import pieces as P
 
@@ -122,14 +122,13 @@ GOLD = (
 )
 
 
-@register("sql_gold_build")
+@register("sql_gold_build", """
+SELECT 'g1' AS id, 'SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey' AS sql, true AS ok, unnest(['r_regionkey', 'r_name']) AS field, r_regionkey AS row, unnest([CAST(r_regionkey AS VARCHAR), r_name]) AS value FROM region
+UNION ALL SELECT 'g2', 'WITH c AS (SELECT count(*) AS n FROM customer) SELECT n FROM c', true, 'n', 0, CAST(count(*) AS VARCHAR) FROM customer
+UNION ALL SELECT 'g3', 'SELECT missing FROM region', false, NULL, NULL, NULL UNION ALL SELECT 'g4', NULL, false, NULL, NULL, NULL""")
 def sql_gold_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold answers: each question's first statement, cleaned and run, with its rows or its error."""
+    """Gold answers: each question's first statement, cleaned and run, with the fields of its rows, or that it can't run."""
     for name in ("region", "customer"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     gold = spark.createDataFrame(list(GOLD), "id string, written string").withColumn("sql", T.first_statement(F.col("written")))
-    out = []
-    for r in gold.orderBy("id").collect():  # a gold set is a hand-written list
-        answer = query_result(spark, r["sql"]) if r["sql"] else {"ok": False, "error": "no statement"}
-        out.append((r["id"], r["sql"], bool(answer["ok"]), answer.get("columns"), answer.get("rows"), answer.get("row_count")))
-    return spark.createDataFrame(out, "id string, sql string, ok boolean, columns array<string>, rows array<array<string>>, row_count int")
+    return gold_answers(gold)

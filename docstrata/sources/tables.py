@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,8 +35,6 @@ def front_matter(text: Column) -> tuple[Column, Column]:
 
 def criteria(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file of rules with its schema; an empty table if the file isn't there."""
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.option("multiLine", True).schema(schema).json(path)
     except AnalysisException:
@@ -50,3 +49,28 @@ def query_result(spark: SparkSession, sql: str, most: int = 500) -> dict:
     except Exception as e:  # noqa: BLE001  a statement may fail in any way; the failure is the result
         return {"ok": False, "error": str(e).split("\n")[0]}
     return {"ok": True, "columns": df.columns, "rows": [list(r) for r in rows[:most]], "row_count": min(len(rows), most), "truncated_at": most if len(rows) > most else None}
+
+
+def gold_answers(gold: DataFrame, most: int = 500) -> DataFrame:
+    """Gold answers as a table: id, sql, ok, row (from 0), field, value (a string).
+
+    ``gold``: id and sql, a hand-written list. The first ``most`` rows of each statement are kept; a null statement, or
+    one that Spark refuses, gives one row that isn't ok. Answers stay tables: none goes through the driver.
+    """
+    spark = gold.sparkSession
+    out = spark.createDataFrame([], "id string, sql string, ok boolean, row long, field string, value string")
+    for r in gold.select("id", "sql").orderBy("id").collect():
+        told = [F.lit(r["id"]).alias("id"), F.lit(r["sql"]).cast("string").alias("sql")]
+        try:
+            answer = spark.sql(r["sql"]).limit(most) if r["sql"] else None
+        except AnalysisException:
+            answer = None
+        if answer is None:
+            rows = spark.range(1).select(*told, F.lit(False).alias("ok"), *[F.lit(None).cast(k).alias(c) for c, k in (("row", "long"), ("field", "string"), ("value", "string"))])
+        else:
+            fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"r.`{c}`").cast("string").alias("value")) for c in answer.columns]))
+            place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1  # of ``most`` rows
+            held = answer.select(place.cast("long").alias("row"), F.struct(*[F.col(f"`{c}`") for c in answer.columns]).alias("r"))
+            rows = held.select("row", fields.alias("f")).select(*told, F.lit(True).alias("ok"), "row", "f.field", "f.value")
+        out = out.unionByName(rows)
+    return out
