@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from docstrata.llm.store import materialize
 
@@ -95,23 +96,26 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIG
     A null text has size 0 and is never taken; a null source is a source of its own. The draws depend on the
     documents and the seed alone, so reruns agree. Repeated rows are drawn one by one. An empty table gives no row.
     """
-    # rows of one id and size are told apart by their text before their number, so that the draws don't depend on it
-    own = [F.xxhash64(docs[text_col]).alias("tie"), docs[row_col].alias("row")] if row_col else []
-    ties = ["tie", "row"] if row_col else []
-    sized = materialize(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *own), "mix-sizes")
+    # rows of one id and size, and those without an id, are told apart by their text before their number, so that the
+    # draws don't depend on it; ids stay whole in pandas only if none is null
+    own = [F.xxhash64(docs[text_col]).alias("tie"), *([docs[row_col].alias("row")] if row_col else [])]
+    ties = ["none", "tie", *(["row"] if row_col else [])]
+    kind = docs.schema[id_col].dataType
+    filler = F.lit(0).cast(kind) if isinstance(kind, NumericType) else F.lit(None).cast(kind)
+    sized = materialize(docs.select(F.coalesce(docs[id_col], filler).alias("id"), docs[id_col].isNull().alias("none"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *own), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = by_source.join(source_targets(by_source.drop("rows"), share, weights, most).withColumnRenamed("source", "s").drop("source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     targets = materialize(targets.withColumn("groups", F.ceil(F.col("rows") / LEAF_ROWS).cast("long")), "mix-targets").withColumnRenamed("source", "s")
     levels = math.ceil(math.log(max(2, targets.agg(F.max("groups")).first()[0] or 1), FAN_IN))
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     d = sized.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumns({"base": F.floor(f).cast("long"), "p": f - F.floor(f), "bucket": F.pmod(F.xxhash64("id", "size", *ties[:1]), F.col("groups"))})
+    d = d.withColumns({"base": F.floor(f).cast("long"), "p": f - F.floor(f), "bucket": F.pmod(F.xxhash64("none", "id", "size", "tie"), F.col("groups"))})
     columns = ", ".join(["id, source, size, source_size, target, base, p, bucket", *ties])
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in columns.split(", "))
 
     def level(open_rows: DataFrame, last: bool, step: int) -> DataFrame:
         def run(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["id", "size", "bucket", *ties], kind="stable", ignore_index=True)
+            g = g.sort_values(["none", "id", "size", "bucket", *ties[1:]], kind="stable", ignore_index=True)
             own = zlib.crc32(f"{seed}|{step}|{g['source'][0]}|{g['node'][0]}".encode())
             p = g["p"].to_numpy(float, copy=True)
             picked, held, q = settle(g["size"].to_numpy(), p, own, last)
@@ -131,4 +135,4 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIG
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("base") + F.col("picked")
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[F.col("row").alias(row_col) for _ in ties[:1]])
+    return out.select(F.when(~F.col("none"), F.col("id")).alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *([F.col("row").alias(row_col)] if row_col else []))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("docstrata.scratch", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("docstrata.scratch", base)

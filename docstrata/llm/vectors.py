@@ -93,7 +93,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABLES,
     n_links counts other rows linked directly; component_id is the smallest id reachable, its own included; kept says
     that this is the row's id. Null, zero, non-finite vectors and those with null components link with nothing, nor
     do vectors of different widths. Equal vectors are linked without being compared. Rows without an id are linked
-    but name no component; if none of a component has an id, component_id is null and kept true.
+    but name no component; if none of a component has an id, component_id is null and kept true. Only the id and the
+    vector are read, so other columns can't clash; an empty table gives no row. Vectors of any width are held whole.
     """
     key = vectors.schema[id_col].dataType
     v = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
@@ -150,9 +151,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABLES,
     lows = c.groupBy("label").agg(F.min("low").alias("component_id"))
     c = c.join(lows, "label").select(F.col("v").alias("cv"), "n", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
     c = materialize(c, "vector-labels")
-    d = v.withColumn("h", F.xxhash64("v")).join(c.withColumn("h", F.xxhash64("cv")), "h", "left").filter("v is null or v = cv")
-    component = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id")).cast(key)
-    return d.select(F.col("id").alias(id_col), F.coalesce(F.col("n") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    # vectors that link with nothing stay out of the join: they would all have one key
+    d = v.filter("v is not null").withColumn("h", F.xxhash64("v")).join(c.withColumn("h", F.xxhash64("cv")), "h").filter("v = cv")
+    component = F.col("component_id").cast(key)
+    linked = d.select(F.col("id").alias(id_col), (F.col("n") - 1 + F.col("links")).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    alone = v.filter("v is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def _block(x: np.ndarray, c: np.ndarray, node: np.ndarray, count: np.ndarray, first: np.ndarray, own: np.ndarray, parts: int, tile: int, table: int, bucket: int, least: float, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

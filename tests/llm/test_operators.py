@@ -526,3 +526,16 @@ def test_line_dedup_finds_every_pair_within_its_edits(spark):
                 links[j] += 1
     got = {r["doc_id"]: r["n_links"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(lines))] == links and sum(links) > 100
+
+
+def test_mixing_keeps_large_and_missing_ids(spark):
+    from docstrata.llm.mixing import mix
+
+    ids = [None, None, (1 << 53) + 1, (1 << 62) + 3, -5] * 4
+    rows = [(i, "word " * (k % 7 + 1), "s") for k, i in enumerate(ids)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in out) == sorted((i or 0, k % 7 + 1) for k, i in enumerate(ids))
+    assert sum(r["doc_id"] is None for r in out) == 8 and {r["source_size"] for r in out} == {sum(k % 7 + 1 for k in range(20))}
+    again = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    drawn = lambda x: sorted(((r["doc_id"] or 0, r["size"], r["copies"]) for r in x))
+    assert drawn(out) == drawn(again)
