@@ -316,14 +316,16 @@ def _nodes(hashes: RangeHash, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mixed(hashes(starts, ends) + (ends - starts).astype(np.uint64)).view(np.int64)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """``docs`` with n_lines, n_removed, n_kept, n_links, removed (line numbers) and kept_text.
 
     A line is a piece of text between line feeds; lines without a word are left as they are and not counted. Two
     lines are linked if they are equal, or differ by at most one edit for every CHARS_AN_EDIT characters of the
     shorter one up to SHORT_EDITS, and one for every LONG_CHARS_AN_EDIT if that is more. Of a group that links join, the occurrence in the smallest id stays (null last; then
     by row and line), the others go. n_links counts, over the document's lines, the other texts that differ and are
-    linked directly. Rows that share their id and text are treated
+    linked directly. Without ``count_links`` it is null, and pairs of long lines that other links have joined already
+    aren't compared: first each line meets one partner a key, then those that are still apart; the groups are the same.
+    Rows that share their id and text are treated
     alike: each keeps what the first does. Null texts count as empty and keep an empty kept_text; an empty table gives no row. Columns of
     ``docs`` with the names of the new ones are replaced. Line texts are told apart by 64-bit hashes.
     """
@@ -427,15 +429,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = materialize(met, "line-candidates", "zstd")
     dealt = tiles(met.filter("place < 0"), ["key"], "node", PART_ROWS).select("key", "tile", "node", "index", "chars", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
     links = dealt.mapInArrow(partial(_verify, bits), "node long, links long, root long")
-    dealt = tiles(met.filter("place >= 0"), ["key"], "node", LONG_ROWS).select("key", "tile", "node", "index", "size", "place", "segment", "left", "right", "chars", "own", "parts").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
-    pairs = materialize(dealt.mapInArrow(_pairs, "u long, v long").distinct(), "line-pairs")
-    # the texts of lines in pairs, from the rows that own them
-    ask = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(seen.groupBy("node").agg(F.min(rank).alias("o")), "node")
-    ask = ask.groupBy(F.col("o.part").cast("int").alias("_part"), F.col("o.row").alias("_row")).agg(F.collect_list(F.struct(F.col("o.line").alias("line"), "node")).alias("_asked"))
-    held = base.select("_part", "_row", "_text").join(ask, ["_part", "_row"]).select("_text", "_asked").mapInArrow(_asked_lines, "node long, chars binary").groupBy("node").agg(F.any_value("chars").alias("chars"))
-    held = materialize(held, "line-texts", "zstd")
-    pairs = pairs.join(held.select(F.col("node").alias("u"), F.col("chars").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("chars").alias("b")), "v")
-    links = materialize(links.unionByName(pairs.select("u", "v", "a", "b").mapInArrow(_verify_pairs, "node long, links long, root long")), "line-links")
+    long_rows = met.filter("place >= 0")
+    columns = ["key", "tile", "node", "index", "size", "place", "segment", "left", "right", "chars", "label", "own", "parts"]
+
+    def long_links(rows: DataFrame, stars: bool) -> DataFrame:
+        """Verified links of long lines with different labels that share a key; ``stars``: of one pair a line and key."""
+        dealt = tiles(rows, ["key"], "node", LONG_ROWS).select(*columns).repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
+        pairs = materialize(dealt.mapInArrow(partial(_pairs, stars), "u long, v long").distinct(), "line-pairs")
+        # the texts of lines in pairs, from the rows that own them
+        ask = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(seen.groupBy("node").agg(F.min(rank).alias("o")), "node")
+        ask = ask.groupBy(F.col("o.part").cast("int").alias("_part"), F.col("o.row").alias("_row")).agg(F.collect_list(F.struct(F.col("o.line").alias("line"), "node")).alias("_asked"))
+        held = base.select("_part", "_row", "_text").join(ask, ["_part", "_row"]).select("_text", "_asked").mapInArrow(_asked_lines, "node long, chars binary").groupBy("node").agg(F.any_value("chars").alias("chars"))
+        held = materialize(held, "line-texts", "zstd")
+        pairs = pairs.join(held.select(F.col("node").alias("u"), F.col("chars").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("chars").alias("b")), "v")
+        return pairs.select("u", "v", "a", "b").mapInArrow(_verify_pairs, "node long, links long, root long")
+
+    if count_links:
+        links = materialize(links.unionByName(long_links(long_rows.withColumn("label", F.col("node")), False)), "line-links")
+    else:
+        links = materialize(links.unionByName(long_links(long_rows.withColumn("label", F.col("node")), True)), "line-stars")
+        joined = materialize(components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "line-star-labels")
+        apart = long_rows.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = materialize(links.unionByName(long_links(apart, False)), "line-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     label = materialize(counts.join(components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "node", "left"), "line-labels")
     marked = seen.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -460,7 +475,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             gone.append(drop)
             kept.append(text)
         n_lines = [0 if k is None else lines[k] for k in at]
-        for name, column in zip(added, ([*n_lines], [len(x) for x in gone], [a - len(x) for a, x in zip(n_lines, gone)], [0 if k is None else links[k] for k in at], pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.string()))):
+        for name, column in zip(added, ([*n_lines], [len(x) for x in gone], [a - len(x) for a, x in zip(n_lines, gone)], [(0 if k is None else links[k]) if count_links else None for k in at], pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.string()))):
             t = t.append_column(name, column if isinstance(column, pa.Array) else pa.array(column, pa.int64()))
         return t.drop_columns(["_id", "_text", "_row", "_part"])
 
@@ -523,12 +538,15 @@ def _verify(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "links", "root"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Pairs (u the shorter line or the smaller node, v) of long lines that share a whole segment where it may stand."""
+def _pairs(stars: bool, batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs (u the shorter line or the smaller node, v) of long lines that share a whole segment where it may stand.
+
+    Lines of one label are joined already. ``stars``: of a block's pairs of a key, each larger node's with the smallest other one.
+    """
     beside = np.concatenate([np.arange(CONTEXT, 0, -1), np.arange(1, CONTEXT + 1)])
     for block in sorted_blocks(batches, 2):
         starts = run_starts(block, 2)
-        tile, node, own, parts, index, size, place, segment, left, right = (block.column(k).to_numpy().astype(np.int64) for k in ("tile", "node", "own", "parts", "index", "size", "place", "segment", "left", "right"))
+        tile, node, label, own, parts, index, size, place, segment, left, right = (block.column(k).to_numpy().astype(np.int64) for k in ("tile", "node", "label", "own", "parts", "index", "size", "place", "segment", "left", "right"))
         around = np.frombuffer(b"".join(block.column("chars").to_pylist()), np.uint8).reshape(-1, 2 * CONTEXT)
         run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         first = np.flatnonzero(index)
@@ -540,7 +558,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[p
             b = np.arange(len(a)) - np.repeat(np.cumsum(counts[x:y]) - counts[x:y], counts[x:y]) + starts[run[a]]
             longer, edits, i = size[b] - size[a], edits_allowed(size[a]), segment[a]
             moved = place[b] - place[a]
-            ok = (longer >= 0) & (longer <= edits) & (node[a] != node[b])
+            ok = (longer >= 0) & (longer <= edits) & (label[a] != label[b])
             ok &= (moved >= np.maximum(-i, longer - edits + i)) & (moved <= np.minimum(i, longer + edits - i))
             # two rows of one part meet in every tile of the part; the one with itself counts
             ok &= (own[a] != own[b]) | (own[a] * parts[a] + own[a] == tile[a])
@@ -548,6 +566,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[p
             inside = np.where(np.arange(2 * CONTEXT) < CONTEXT, beside <= left[a][:, None], beside <= right[a][:, None])
             ok = ((around[a] == around[b]) | ~inside).all(1)
             a, b = a[ok], b[ok]
+            if stars and len(a):
+                low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+                order = np.lexsort((low, high, run[a]))
+                first_of = np.append(True, (run[a][order][1:] != run[a][order][:-1]) | (high[order][1:] != high[order][:-1]))
+                a, b = a[order[first_of]], b[order[first_of]]
             swap = (size[a] == size[b]) & (node[a] > node[b])
             found = np.unique(np.stack([np.where(swap, node[b], node[a]), np.where(swap, node[a], node[b])], 1), axis=0)
             if len(found):

@@ -526,6 +526,9 @@ def test_line_dedup_finds_every_pair_within_its_edits(spark):
                 links[j] += 1
     got = {r["doc_id"]: r["n_links"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(lines))] == links and sum(links) > 100
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = [{r["doc_id"]: r["n_kept"] for r in dedup_lines(docs, count_links=x).collect()} for x in (True, False)]
+    assert kept[0] == kept[1] and dedup_lines(docs, count_links=False).first()["n_links"] is None
 
 
 def test_mixing_keeps_large_and_missing_ids(spark):
