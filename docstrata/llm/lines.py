@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from docstrata.llm.components import components, run_starts, sorted_blocks, tiles
-from docstrata.llm.store import materialize
+from docstrata.llm.store import drop_table, materialize
 from docstrata.llm.substrings import packed, unpacked
 from docstrata.llm.textbytes import RangeHash, distinct, gather, mixed, row_blocks, text_bytes
 
@@ -49,6 +49,8 @@ BLOCK_BYTES = 2 << 20
 PARTS = 2
 PART_ROWS = 512
 LONG_ROWS = 4096
+#: Labels up to this number (16 MB) are sent to every task; beyond, Spark joins them.
+SENT_LABELS = 1_000_000
 
 _SPACE = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
@@ -432,8 +434,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long_rows = met.filter("place >= 0")
     columns = ["key", "tile", "node", "index", "size", "place", "segment", "left", "right", "chars", "label", "own", "parts"]
 
-    def long_links(rows: DataFrame, stars: bool) -> DataFrame:
-        """Verified links of long lines with different labels that share a key; ``stars``: of one pair a line and key."""
+    def long_links(rows: DataFrame, stars: bool, name: str) -> DataFrame:
+        """Verified links of long lines with different labels that share a key, with ``links``; ``stars``: of one pair a line and key."""
         dealt = tiles(rows, ["key"], "node", LONG_ROWS).select(*columns).repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
         pairs = materialize(dealt.mapInArrow(partial(_pairs, stars), "u long, v long").distinct(), "line-pairs")
         # the texts of lines in pairs, from the rows that own them
@@ -441,16 +443,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ask = ask.groupBy(F.col("o.part").cast("int").alias("_part"), F.col("o.row").alias("_row")).agg(F.collect_list(F.struct(F.col("o.line").alias("line"), "node")).alias("_asked"))
         held = base.select("_part", "_row", "_text").join(ask, ["_part", "_row"]).select("_text", "_asked").mapInArrow(_asked_lines, "node long, chars binary").groupBy("node").agg(F.any_value("chars").alias("chars"))
         held = materialize(held, "line-texts", "zstd")
-        pairs = pairs.join(held.select(F.col("node").alias("u"), F.col("chars").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("chars").alias("b")), "v")
-        return pairs.select("u", "v", "a", "b").mapInArrow(_verify_pairs, "node long, links long, root long")
-
-    if count_links:
-        links = materialize(links.unionByName(long_links(long_rows.withColumn("label", F.col("node")), False)), "line-links")
-    else:
-        links = materialize(links.unionByName(long_links(long_rows.withColumn("label", F.col("node")), True)), "line-stars")
+        pairs_ = pairs.join(held.select(F.col("node").alias("u"), F.col("chars").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("chars").alias("b")), "v")
+        found = pairs_.select("u", "v", "a", "b").mapInArrow(_verify_pairs, "node long, links long, root long")
+        out = materialize(links.unionByName(found), name)
+        drop_table(pairs)
+        drop_table(held)
+        return out
+
+    links = long_links(long_rows.withColumn("label", F.col("node")), not count_links, "line-links")
+    if not count_links:
         joined = materialize(components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "line-star-labels")
-        apart = long_rows.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        links = materialize(links.unionByName(long_links(apart, False)), "line-links")
+        few = joined.count() <= SENT_LABELS
+        apart = long_rows.join(F.broadcast(joined) if few else joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = long_links(apart, False, "line-links")
+    drop_table(met)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     label = materialize(counts.join(components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "node", "left"), "line-labels")
     marked = seen.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
