@@ -491,13 +491,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, characters) of the lines that are asked of each text."""
+    """(node, UTF-8 bytes) of the lines that are asked of each text."""
     for batch in batches:
         nodes, chars = [], []
         for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines = text.split("\n")
             nodes += [x["node"] for x in asked]
-            chars += [lines[x["line"]].encode("utf-32-le") for x in asked]
+            chars += [lines[x["line"]].encode() for x in asked]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(chars, pa.binary())], ["node", "chars"])
 
 
@@ -597,7 +597,7 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterat
     for whole in batches:
         for batch in (whole.slice(k, most) for k in range(0, whole.num_rows, most)):
             u, v = (batch.column(k).to_numpy() for k in (0, 1))
-            x, y = ([np.frombuffer(z.as_buffer(), "<u4") for z in batch.column(k)] for k in (2, 3))
+            x, y = ([np.frombuffer(z.as_py().decode().encode("utf-32-le"), "<u4") for z in batch.column(k)] for k in (2, 3))
             allowed = edits_allowed(np.array([len(a) for a in x]))
             # an edit takes away and adds BIN_GRAM grams at most
             near = np.abs(_bins(x) - _bins(y)).sum(1) <= 2 * BIN_GRAM * allowed
