@@ -326,7 +326,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shorter one up to SHORT_EDITS, and one for every LONG_CHARS_AN_EDIT if that is more. Of a group that links join, the occurrence in the smallest id stays (null last; then
     by row and line), the others go. n_links counts, over the document's lines, the other texts that differ and are
     linked directly. Without ``count_links`` it is null, and pairs of long lines that other links have joined already
-    aren't compared: first each line meets one partner a key, then those that are still apart; the groups are the same.
+    aren't compared: first each line meets the partner of the most keys, then those that are still apart; the groups are the same.
     Rows that share their id and text are treated
     alike: each keeps what the first does. Null texts count as empty and keep an empty kept_text; an empty table gives no row. Columns of
     ``docs`` with the names of the new ones are replaced. Line texts are told apart by 64-bit hashes.
@@ -435,9 +435,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = ["key", "tile", "node", "index", "size", "place", "segment", "left", "right", "chars", "label", "own", "parts"]
 
     def long_links(rows: DataFrame, stars: bool, name: str) -> DataFrame:
-        """Verified links of long lines with different labels that share a key, with ``links``; ``stars``: of one pair a line and key."""
+        """Verified links of long lines with different labels that share a key, with ``links``; ``stars``: of one pair a line, that of the most keys."""
         dealt = tiles(rows, ["key"], "node", LONG_ROWS).select(*columns).repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
-        pairs = materialize(dealt.mapInArrow(partial(_pairs, stars), "u long, v long").distinct(), "line-pairs")
+        pairs = dealt.mapInArrow(partial(_pairs, stars), "u long, v long")
+        if stars:
+            best = F.max(F.struct("count", "u", "v")).alias("b")
+            pairs = pairs.groupBy("u", "v").count().groupBy(F.greatest("u", "v")).agg(best).select("b.u", "b.v")
+        pairs = materialize(pairs.distinct(), "line-pairs")
         # the texts of lines in pairs, from the rows that own them
         ask = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(seen.groupBy("node").agg(F.min(rank).alias("o")), "node")
         ask = ask.groupBy(F.col("o.part").cast("int").alias("_part"), F.col("o.row").alias("_row")).agg(F.collect_list(F.struct(F.col("o.line").alias("line"), "node")).alias("_asked"))
