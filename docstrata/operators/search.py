@@ -28,6 +28,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.greatest(F.sqrt(dot(a, a)), floor) * F.greatest(F.sqrt(dot(b, b)), floor))
 
 
+def _first(sims: np.ndarray, among: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's ``most`` greatest values in the columns ``among``; of equal ones, those of smaller ids."""
+    s = sims[:, among]
+    least = np.partition(s, -most, axis=1)[:, -most:].min(axis=1) if most < len(among) else np.full(len(s), -np.inf)
+    rows, at = np.nonzero(s >= least[:, None])
+    columns = among[at]
+    order = np.lexsort((ids[columns], -s[rows, at], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < most], columns[place < most]
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, most: int, group: str | None = None, digits: int = 6) -> DataFrame:
     """For each query, the ``most`` nearest rows of the corpus overall, and of each group if one is named.
 
@@ -46,12 +58,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, most: int, group: str | None
             for _, r in b.iterrows():
                 x, y = (np.array([np.asarray(v, float) for v in r[c]]) for c in ("qvecs", "vecs"))
                 x, y = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-8)[:, None] for v in (x, y))
-                sims, ids = np.round(x @ y.T, digits), np.asarray(r["ids"])
+                sims, ids, qids = np.round(x @ y.T, digits), np.asarray(r["ids"]), np.asarray(r["qids"])
                 groups = np.asarray(r["groups"]) if group else np.zeros(len(ids), int)
-                for k, qid in enumerate(r["qids"]):
-                    order = np.lexsort((ids, -sims[k]))
-                    order = order[pd.Series(groups[order]).groupby(groups[order]).cumcount().to_numpy() < most]
-                    yield pd.DataFrame({"qid": qid, "id": ids[order], **({group: groups[order]} if group else {}), "sim": sims[k][order]})
+                for g in np.unique(groups):
+                    rows, columns = _first(sims, np.flatnonzero(groups == g), ids, most)
+                    yield pd.DataFrame({"qid": qids[rows], "id": ids[columns], **({group: g} if group else {}), "sim": sims[rows, columns]})
 
     blocks = corpus.withColumn("_b", F.floor(F.monotonically_increasing_id() / CORPUS_BLOCK)).groupBy("_b").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"), *[F.collect_list(c).alias("groups") for c in kept])
     schema = f"qid {dict(queries.dtypes)['qid']}, id {kind['id']}, " + "".join(f"{c} {kind[c]}, " for c in kept) + "sim double"

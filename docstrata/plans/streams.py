@@ -53,8 +53,8 @@ SELECT user_id, max(kept) AS kept FROM w GROUP BY user_id""")
 def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events a user that are a day or more after the last one kept."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    d = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(seconds)).alias("t"))
-    return d.select("user_id", F.size(E.throttled(F.col("t"), 86400.0)).cast("long").alias("kept"))
+    kept = E.throttled(table(spark, sf_dir, "events"), "user_id", seconds, 86400.0)
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @register("cache_ttl_lru", f"""

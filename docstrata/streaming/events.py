@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +37,34 @@ def timeline(events: DataFrame, key: str, order: list[Column], begins: Column, e
     return d.filter(begins).withColumn("seconds", F.timestamp_diff("SECOND", F.col("ts"), F.col("closed")))
 
 
-def throttled(times: Column, least: float) -> Column:
-    """Of ascending seconds, those kept: the first, and each one ``least`` or more after the last kept."""
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(None).cast("double").alias("last"))
-    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= least), F.struct(F.array_append(a["out"], t).alias("out"), t.alias("last"))).otherwise(a)
-    return F.aggregate(times, start, step, lambda a: a["out"])
+def throttled(events: DataFrame, key: str, seconds: Column, least: float) -> DataFrame:
+    """(key, seconds) of the events kept: each key's first, and each one ``least`` or more after the last kept.
+
+    A key's events pass by in order of time, so a task holds one batch and the last time kept, however many events a
+    key has. Events without a time take no part; those without a key are one key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        for b in batches:
+            keys, t = b.column(0), b.column(1).to_numpy()
+            coded = keys.dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy()
+            starts = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes)) if len(codes) else []
+            kept = []
+            for i, j in zip(starts[:-1], starts[1:]):
+                value = coded.dictionary[int(codes[i])].as_py()
+                if last is None or value != now:
+                    now, last = value, -np.inf
+                at = i + np.searchsorted(t[i:j], last + least)
+                while at < j:
+                    kept.append(at)
+                    last = t[at]
+                    at += np.searchsorted(t[at:j], last + least)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    d = events.select(key, seconds.cast("double").alias("seconds")).filter("seconds is not null")
+    return d.repartition(key).sortWithinPartitions(key, "seconds").mapInArrow(run, d.schema)
 
 
 def cache_entries(events: DataFrame, key: list[str], now: str, minutes: int, most: int) -> DataFrame:
