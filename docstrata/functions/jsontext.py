@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 
 def first_object(text: str | None) -> str | None:
@@ -24,11 +25,11 @@ def first_object(text: str | None) -> str | None:
 
 def with_first_object(rows: DataFrame, text_col: str, name: str) -> DataFrame:
     """``rows`` with the first JSON object of a text column."""
-    schema = rows.withColumn(name, F.lit("").cast("string")).schema
+    schema = StructType([f for f in rows.schema if f.name != name]).add(name, StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(**{name: [first_object(x) for x in b[text_col]]})
+            yield b.assign(**{name: [first_object(x) for x in b[text_col]]})[schema.names]
 
     return rows.mapInPandas(run, schema)
 

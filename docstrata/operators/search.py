@@ -131,3 +131,27 @@ def best_per(rows: DataFrame, keys: list[str], order: list[Column], name: str =
 def gate(hits: DataFrame, least: float, query: str = "qid", score: str = "score") -> DataFrame:
     """No hit of a query whose best score is below ``least``."""
     return hits.withColumn("_best", F.max(score).over(Window.partitionBy(query))).filter(F.col("_best") >= least).drop("_best")
+
+
+def numbered(rows: DataFrame, order: str, query: str = "qid") -> DataFrame:
+    """``rows`` with index, from 1 in each query."""
+    return rows.withColumn("index", F.row_number().over(Window.partitionBy(query).orderBy(order)).cast("long"))
+
+
+def appended(hits: DataFrame, evidence: DataFrame, order: str, query: str = "qid") -> DataFrame:
+    """Evidence after each query's hits, its index going on from theirs; columns that evidence lacks are null."""
+    last = hits.groupBy(query).agg(F.max("index").alias("_last"))
+    more = numbered(evidence, order, query).join(last, query, "left").withColumn("index", F.col("index") + F.coalesce("_last", F.lit(0))).drop("_last")
+    return hits.unionByName(more, allowMissingColumns=True)
+
+
+def reranked(hits: DataFrame, scores: DataFrame, most: int) -> DataFrame:
+    """The ``most`` first hits of each query by a reranker's score, equal ones by similarity, then id.
+
+    hits: qid, id, sim; scores: qid, id, score. A query that lacks a score of any hit counts as failed: none of its
+    scores is used, and similarity decides.
+    """
+    whole = F.count_if(F.col("score").isNull()).over(Window.partitionBy("qid")) == 0
+    d = hits.join(scores.select("qid", "id", "score"), ["qid", "id"], "left").withColumn("score", F.when(whole, F.col("score")))
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("sim").desc(), "id")
+    return d.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)

@@ -86,7 +86,13 @@ def split_think(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_batch(_pieces(spark, sf_dir))
 
 
-@register("tail_guard")
+@register("tail_guard", r"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations),
+l AS (SELECT *, regexp_extract_all(text, '[^。！？!?\n.]{0,119}[。！？!?\n.]|[^。！？!?\n.]{1,120}') AS l FROM t),
+u AS (SELECT id, length(text) AS n, unnest(l) AS s, unnest(range(len(l))) AS k FROM l),
+v AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM u),
+c AS (SELECT id, min(place) AS cut FROM v WHERE contains(s, 'the') AND n - place <= 400 GROUP BY id)
+SELECT id, CAST(coalesce(cut, length(text)) AS BIGINT) AS n_chars FROM t LEFT JOIN c USING (id)""")
 def tail_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return P.guard_batch(d, "the").select("id", F.length("text").cast("long").alias("n_chars"))

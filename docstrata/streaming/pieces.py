@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -99,14 +99,18 @@ def split_batch(pieces: DataFrame) -> DataFrame:
 
 
 def guard_batch(texts: DataFrame, disclaimer: str) -> DataFrame:
-    """(id, text) without a closing disclaimer, as the piecewise guard lets it through."""
+    """(id, text) without a closing disclaimer, as the piecewise guard lets it through; null texts are empty.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                held, shown = guard_tail("", t or "", disclaimer)
-                out.append(shown + guard_tail(held, "", disclaimer, last=True)[1])
-            yield b.assign(text=out)
+    Of a whole text, what goes is the end from the first sentence on that holds the word with no more than TAIL_MOST
+    characters left. The sentences pass with a count of characters, so a text of any length takes one pass.
+    """
+    ends, most = SENTENCE_ENDS.replace("\n", r"\n"), SENTENCE_MOST
+    sentences = F.regexp_extract_all("text", F.lit(f"[^{ends}]{{0,{most - 1}}}[{ends}]|[^{ends}]{{1,{most}}}"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("cut"))
+
+    def step(a: Column, x: Column) -> Column:
+        goes = a["cut"].isNull() & F.contains(x, F.lit(disclaimer)) & (F.length("text") - a["at"] <= TAIL_MOST)
+        return F.struct((a["at"] + F.length(x)).alias("at"), F.when(goes, a["at"]).otherwise(a["cut"]).alias("cut"))
 
-    return texts.select("id", "text").mapInPandas(run, texts.select("id", "text").schema)
+    d = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.select("id", F.left("text", F.coalesce(F.aggregate(sentences, start, step, lambda a: a["cut"]), F.length("text"))).alias("text"))

@@ -29,6 +29,25 @@ def test_tail_guard():
     assert out == "结论。" and P.guard_tail(held, "", "仅供参考", last=True) == ("", "")
 
 
+def test_tail_guard_batch(spark):
+    texts = ["答案。以上仅供参考。", "仅供参考。" + "长" * 500, "x" * 130 + "仅供参考", "a.仅供参考b!c", "", None, "无"]
+
+    def slow(t):
+        held, shown = P.guard_tail("", t or "", "仅供参考")
+        return shown + P.guard_tail(held, "", "仅供参考", last=True)[1]
+
+    rows = P.guard_batch(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "仅供参考").collect()
+    assert {r.id: r.text for r in rows} == {i: slow(t) for i, t in enumerate(texts)}
+
+
+def test_throttled(spark):
+    from docstrata.streaming.events import throttled
+
+    rows = [("a", float(t)) for t in (0, 3, 9, 10, 19, 20, 31)] + [(None, 5.0), (None, 6.0), ("b", None), ("b", -4.0), ("a", 0.0)]
+    got = throttled(spark.createDataFrame(rows, "k string, t double"), "k", F.col("t"), 10.0).collect()
+    assert sorted((str(r.k), r.seconds) for r in got) == [("None", 5.0), ("a", 0.0), ("a", 10.0), ("a", 20.0), ("a", 31.0), ("b", -4.0)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from docstrata.plans.streams import _pieces
 
