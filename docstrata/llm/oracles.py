@@ -66,3 +66,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT ({strict}) AS kept, n_lines
 FROM m LEFT JOIN best b ON b.stratum IS NOT DISTINCT FROM m.lang
 """
+
+#: crc32 as DuckDB macros: of a list of bytes, and of an ASCII string
+CRC = "xor(list_reduce({bytes}, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1))), 4294967295::BIGINT), 4294967295)"
+
+
+def crc_of_ascii(text: str) -> str:
+    return CRC.format(bytes=f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))")
+
+
+def op11(levels: int = 12) -> str:
+    """Trees of up to 3 ** levels leaves, level by level, by source and then over the sources."""
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    cut = "replace(text, chr(10), '')"
+    before = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    ctes, sides = [], []
+    for tree, top in (("s", "k"), ("t", "k")):
+        for n in range(levels):
+            ctes.append(f"{tree}{n + 1} AS (SELECT k, i // 3 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(n) + 2) // 3 AS n FROM {tree}{n} GROUP BY k, i // 3)")
+        if tree == "s":
+            ctes.append(f"t0 AS (SELECT 0 AS k, row_number() OVER (ORDER BY k) - 1 AS i, h, count(*) OVER () AS n, k AS source FROM s{levels})")
+    joins = []
+    for tree, own, k in (("s", "l.i", "l.k"), ("t", "u.i", "0")):
+        for n in range(levels):
+            a = f"{tree}{n}"
+            at = f"({own} // {3**n})"
+            for j in range(3):
+                joins.append(f"LEFT JOIN {a} {a}_{j} ON {a}_{j}.k = {k} AND {a}_{j}.i = {at} // 3 * 3 + {j} AND {a}_{j}.n > 1")
+            sides.append(([f"CASE WHEN {at} % 3 > {j} THEN coalesce({a}_{j}.h, '') ELSE '' END" for j in range(2)], [f"CASE WHEN {at} % 3 < {j} THEN coalesce({a}_{j}.h, '') ELSE '' END" for j in (1, 2)], f"({a}_0.h IS NOT NULL)"))
+    proof = " || ".join(" || ".join(left + right) for left, right, _ in sides)
+    folds = [f"f0 AS (SELECT p.*, coalesce(tampered, leaf) AS f FROM p)"]
+    for n in range(2 * levels):
+        folds.append(f"f{n + 1} AS (SELECT * REPLACE (CASE WHEN sides[{n + 1}].b THEN sha256(sides[{n + 1}].l || f || sides[{n + 1}].r) ELSE f END AS f) FROM f{n})")
+    pairs = ", ".join(f"{{'l': {' || '.join(left)}, 'r': {' || '.join(right)}, 'b': {there}}}" for left, right, there in sides)
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, sha256({before} || {field.format("text")}) AS leaf,
+         CASE WHEN {crc_of_ascii("doc_id::VARCHAR")} % 2 = 0 THEN sha256({before} || {field.format(cut)}) END AS tampered
+  FROM documents),
+g AS (SELECT source, CAST(row_number() OVER (ORDER BY source NULLS FIRST) AS BIGINT) AS k FROM (SELECT DISTINCT source FROM documents)),
+l AS (SELECT d.*, g.k, row_number() OVER (PARTITION BY g.k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g.k) AS n
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+s0 AS (SELECT k, i, leaf AS h, n FROM l), {", ".join(ctes)},
+p AS (SELECT l.doc_id, leaf, tampered, u.h AS subroot, (SELECT h FROM t{levels}) AS root, sha256({proof}) AS proof_sha256, [{pairs}] AS sides
+      FROM l JOIN t0 u ON u.source = l.k {" ".join(joins)}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM f{2 * levels}
+"""

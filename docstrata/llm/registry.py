@@ -84,11 +84,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_length")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.manifest import verified_manifest
+
+    return verified_manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op4_line_dedup, op5_quality_rules, op6_suffix_dedup, op7_warc, op8_html_text, op9_vectors, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op4_line_dedup, op5_quality_rules, op6_suffix_dedup, op7_warc, op8_html_text, op9_vectors, op10_packing, op11_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     from docstrata.llm import oracles
 
-    return {"op1_substring_dedup": oracles.OP1, "op5_quality_rules": oracles.op5()}
+    return {"op1_substring_dedup": oracles.OP1, "op5_quality_rules": oracles.op5(), "op11_manifest": oracles.op11()}
