@@ -113,3 +113,22 @@ p AS (SELECT l.doc_id, leaf, tampered, u.h AS subroot, (SELECT h FROM t{levels})
 {", ".join(folds)}
 SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM f{2 * levels}
 """
+
+_PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BYTES = "list_transform(range(0, len(hex(w)) // 2), lambda k: CAST('0x' || substr(hex(w), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+OP13 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS ws FROM documents),
+f AS (SELECT r, unnest(ws) AS w FROM d),
+e AS (SELECT unnest(ws) AS w FROM (SELECT {_PLAIN} AS ws FROM benchmark)),
+b AS (SELECT w, {CRC.format(bytes=_BYTES)} % 10000 AS b FROM (SELECT w FROM f UNION SELECT w FROM e)),
+s AS (SELECT b, count(*) AS s FROM f JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM e JOIN b USING (w) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM f)::DOUBLE AS s, (SELECT count(*) FROM e)::DOUBLE AS t),
+g AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1.0)::DOUBLE * (n.s + 10000) / ((s.s + 1.0)::DOUBLE * (n.t + 10000)))) AS BIGINT) AS g
+      FROM s LEFT JOIN t ON s.b = t.b CROSS JOIN n),
+w AS (SELECT d.doc_id, d.r, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(floor(x.g / len(ws)), 0) AS BIGINT) AS weight
+      FROM d LEFT JOIN (SELECT r, sum(g) AS g FROM f JOIN b USING (w) JOIN g USING (b) GROUP BY r) x USING (r)),
+c AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank, n_features AS n_words FROM k
+"""

@@ -90,11 +90,17 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op4_line_dedup, op5_quality_rules, op6_suffix_dedup, op7_warc, op8_html_text, op9_vectors, op10_packing, op11_manifest)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op4_line_dedup, op5_quality_rules, op6_suffix_dedup, op7_warc, op8_html_text, op9_vectors, op10_packing, op11_manifest, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
     from docstrata.llm import oracles
 
-    return {"op1_substring_dedup": oracles.OP1, "op5_quality_rules": oracles.op5(), "op11_manifest": oracles.op11()}
+    return {"op1_substring_dedup": oracles.OP1, "op5_quality_rules": oracles.op5(), "op11_manifest": oracles.op11(), "op13_resampling": oracles.OP13}

@@ -6,6 +6,7 @@ so words found on bytes are the words found on characters.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,13 @@ def row_blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and per row the number of the first word (one more than rows)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and per row the number of the first word (one more than rows).
+
+    ``outside`` says of each byte value whether it separates words.
+    """
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~outside[data]
     starts_here = inside[1:] & ~inside[:-1]
     ends_here = inside[:-1] & ~inside[1:]
     cuts = offsets[1:-1]
@@ -98,6 +102,38 @@ def hash_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> 1) ^ (np.uint32(0xEDB88320) * (t & 1))
+    return t
+
+
+_CRC = _crc_table()
+
+
+def crc32_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, together: int = 64) -> np.ndarray:
+    """The crc32 of each byte range: up to ``together`` bytes for all ranges at once, longer ones one by one."""
+    sizes = ends - starts
+    order = np.argsort(-sizes, kind="stable")
+    at, longest = starts[order], sizes[order]
+    crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for j in range(min(together, int(longest[0]) if len(longest) else 0)):
+        n = int(np.searchsorted(-longest, -j, "left"))  # ranges of more than j bytes
+        crc[:n] = _CRC[(crc[:n] ^ data[at[:n] + j]) & 255] ^ (crc[:n] >> 8)
+    crc = ~crc
+    for k in range(int(np.searchsorted(-longest, -together, "left"))):
+        crc[k] = zlib.crc32(data[at[k] : at[k] + longest[k]])
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
+
+
 def distinct(keys: np.ndarray) -> np.ndarray:
     """The different keys in order, by sorting: much faster than a hash table for many keys."""
     keys = np.sort(keys)
