@@ -90,6 +90,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docstrata.llm.importance import resample
 
@@ -97,7 +103,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op4_line_dedup, op5_quality_rules, op6_suffix_dedup, op7_warc, op8_html_text, op9_vectors, op10_packing, op11_manifest, op13_resampling)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_mixing, op4_line_dedup, op5_quality_rules, op6_suffix_dedup, op7_warc, op8_html_text, op9_vectors, op10_packing, op11_manifest, op12_lm_scores, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
