@@ -26,14 +26,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav aside footer form menu dialog search".split())
 ARTICLES = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_NAMES = r"(?:nav|navbar|navigation|menu|menubar|sidebar|side-bar|aside|footer|masthead|site-header|page-header|breadcrumbs?|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|share|sharing|social|comments?|commentlist|respond|repl(?:y|ies)|disqus|related|recommend(?:ed|ations?)?|widgets?|login|signup|register|toolbar|pagination|pager|skip-link)"
+_NAMES = r"(?:nav|navbar|navigation|menu|menubar|sidebar|side-bar|aside|footer|masthead|site-header|page-header|breadcrumbs?|ads?|adverts?|advertisement|advertising|adsbygoogle|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|share|sharing|social|comments?|commentlist|discussions?|teasers?|respond|repl(?:y|ies)|disqus|related|recommend(?:ed|ations?)?|widgets?|login|signup|register|toolbar|pagination|pager|skip-link)"
 # words that say where or in what form such a part stands; other words beside its name ("has-sidebar") tell of something else
-_FORMS = r"(?:area|bar|block|body|bottom|box|button|buttons|cards?|col|column|container|fixed|footer|form|global|header|holder|inner|item|items|left|links?|list|main|mobile|outer|overlay|page|panel|placeholder|posts?|primary|right|row|secondary|section|site|slot|sticky|text|top|unit|wrap|wrapper)"
+_FORMS = r"(?:area|article|bar|block|body|bottom|box|button|buttons|cards?|col|column|container|content|entry|fb|fixed|footer|form|global|google|header|holder|inner|item|items|left|links?|list|main|mobile|outer|overlay|page|panel|placeholder|posts?|primary|reader|right|row|secondary|section|site|slot|sticky|text|top|unit|user|wrap|wrapper)"
 PART = re.compile(rf"[^a-z]*(?:(?P<name>{_NAMES})|{_FORMS})(?=[^a-z]|$)[^a-z]*")
 SIGMA, REACH = 1.0, 2
 #: An article or main element is a root of the text if it holds this share of the upper cluster's text.
 ROOT_SHARE = 0.2
+#: So much text in the upper cluster of what is outside of all named containers is an article.
+ARTICLE_CHARS = 200
 FEED = 1 << 16
+# Elements that end a drawing or formula they stand in, and elements of drawings that hold such ones.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN = frozenset(("svg", "math"))
+POINTS = frozenset(("foreignobject", "desc", "annotation-xml"))
 
 
 def names_aside(token: str) -> bool:
@@ -48,7 +54,7 @@ def names_aside(token: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, innermost container, set aside by markup). Containers set aside by name alone are in ``named``.
+    """Collects lines: (text, tags, innermost container, set aside by markup, all in links). Containers set aside by name alone are in ``named``.
 
     Containers are numbered as they open, 0 is the page; ``parents`` has the one around each, a smaller number. What
     is open is counted, so the time is linear in the page however deep its elements are nested.
@@ -62,7 +68,9 @@ class _Lines(HTMLParser):
         self.open: Counter[str] = Counter()
         self.unseen: list[str] = []
         self.parts: list[str] = []
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.linked = False
+        self.plain = 0  # characters of the line that are in no link
         self.articles: set[int] = set()
         self.named: set[int] = set()
         self.bodies: set[int] = set()
@@ -72,8 +80,9 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, max(1, self.tags), self.stack[-1][1] if self.stack else 0, self.apart > 0))
+                self.lines.append((text, max(1, self.tags), self.stack[-1][1] if self.stack else 0, self.apart > 0, not self.plain))
                 self.tags = 0
+            self.plain = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -84,21 +93,26 @@ class _Lines(HTMLParser):
                 self.unseen.append(tag)
             return
         if self.unseen:
-            if tag != "body":
+            while self.unseen and self.unseen[-1] in FOREIGN and tag in BREAKOUT:
+                self.unseen.pop()  # the drawing was not closed
+            if self.unseen and tag in POINTS and FOREIGN & set(self.unseen):
+                self.unseen.append(tag)
+            if self.unseen and tag != "body":
                 return
             self.unseen = []  # the head was not closed
         if tag == "br":
             self.parts.append(" ")
+        if tag == "a":
+            self.linked = True
         if tag not in BLOCKS:
             return
         self.flush()
         if tag in CONTAINERS:
             held = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
             apart = tag in ASIDE or tag == "header" and not self.in_articles or held.get("role") in ROLES or "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "")
-            apart = apart or tag == "article" and bool(re.search(r"(?:^|[^a-z])(?:comments?|repl(?:y|ies)|ads?|teaser|related)(?:$|[^a-z])", f"{held.get('class', '')} {held.get('id', '')}"))
             number = len(self.parents)
             self.parents.append(self.stack[-1][1] if self.stack else 0)
-            if not apart and tag not in ("body", "article", "main") and any(map(names_aside, f"{held.get('class', '')} {held.get('id', '')}".split())):
+            if not apart and tag not in ("body", "main") and any(map(names_aside, f"{held.get('class', '')} {held.get('id', '')}".split())):
                 self.named.add(number)
             if tag in ARTICLES and not apart:
                 self.articles.add(number)
@@ -116,6 +130,8 @@ class _Lines(HTMLParser):
                 while self.unseen.pop() != tag:
                     pass
             return
+        if tag == "a":
+            self.linked = False
         if tag in BLOCKS:
             self.flush()
         if tag in CONTAINERS and tag not in ("body",) and self.open[tag]:
@@ -136,6 +152,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.unseen:
             self.parts.append(data)
+            self.plain += 0 if self.linked or data.isspace() else len(data)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -159,7 +176,7 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values >= (low + high) / 2
 
 
-def _sums(parents: list[int], lines: list[tuple[str, int, int, bool]], values: list[int]) -> list[int]:
+def _sums(parents: list[int], lines: list[tuple[str, int, int, bool, bool]], values: list[int]) -> list[int]:
     """The sum over the lines in each container, itself and what it holds."""
     out = [0] * len(parents)
     for x, v in zip(lines, values):
@@ -177,17 +194,20 @@ def _within(parents: list[int], some: set[int]) -> list[bool]:
     return out
 
 
-def _regions(lines: list[tuple[str, int, int, bool]]) -> list[bool]:
-    """Which lines lie where the smoothed ratio of text to tags is in its upper cluster."""
-    return upper_cluster(smooth(np.array([len(text) / tags for text, tags, _, _ in lines]))).tolist()
+def _regions(lines: list[tuple[str, int, int, bool, bool]]) -> list[bool]:
+    """Which lines lie where the smoothed ratio of text to tags is in its upper cluster; links alone don't, if others do."""
+    over = upper_cluster(smooth(np.array([len(x[0]) / x[1] for x in lines])))
+    plain = over & ~np.array([x[4] for x in lines])
+    return (plain if plain.any() else over).tolist()
 
 
-def _set_aside(parser: _Lines, lines: list[tuple[str, int, int, bool]]) -> set[int]:
+def _set_aside(parser: _Lines, lines: list[tuple[str, int, int, bool, bool]]) -> set[int]:
     """The containers that are left out for their names: not those that hold the article.
 
     A container holds it if most of the upper cluster's text is in an article or main element of it. Where no such
-    element with text stands outside of named containers, any article or main element counts, or most of that text and
-    of the page's.
+    element with text stands outside of named containers, any article or main element counts; and a container without
+    one is spared that has most of that text and of the page's, unless the upper cluster of what is in no named container
+    has 200 characters, or a fifth as many as that of the page: then the article is there, however long its comments are.
     """
     parents = parser.parents
     if not parser.named:
@@ -201,6 +221,9 @@ def _set_aside(parser: _Lines, lines: list[tuple[str, int, int, bool]]) -> set[i
     for c in range(len(parents) - 1, 0, -1):
         article = c in parser.articles and full[c] > 0 and (not free or 2 * size[c] > size[0])
         holds[parents[c]] = holds[parents[c]] or holds[c] or article
+    outside = [x for x in lines if not named[x[2]]]
+    text = sum(len(x[0]) for x, ok in zip(outside, _regions(outside) if outside else []) if ok and not x[4])
+    free = free or text >= min(ARTICLE_CHARS, ROOT_SHARE * size[0]) > 0
     return {c for c in parser.named if not holds[c] and (free or 2 * size[c] <= size[0] or 2 * full[c] <= full[0])}
 
 
@@ -214,6 +237,8 @@ def main_text(html: str | None) -> str:
         step = max(FEED, len(parser.rawdata))  # what the parser still holds, an open comment say, is gone through again
         parser.feed(html[i : i + step])
         i += step
+    if parser.rawdata.startswith("<!--"):
+        parser.rawdata = ""  # a comment that isn't closed reaches to the end
     parser.close()
     parser.flush()
     lines, parents = [x for x in parser.lines if not x[3]], parser.parents

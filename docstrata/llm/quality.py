@@ -126,7 +126,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     # a row a stratum and step leaves each task; all that follows is as small
     counts = held.groupBy("stratum", "step").agg(F.count_if("good").alias("lost"), F.count_if(~F.col("good")).alias("caught"))
     strata, so_far = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy("step")
-    counts = counts.withColumns({"n": F.sum("lost").over(strata), "strata": F.size(F.collect_set(F.coalesce("stratum", F.lit(""))).over(Window.partitionBy()))})
+    counts = counts.withColumns({"n": F.sum("lost").over(strata), "strata": F.size(F.collect_set(F.struct("stratum")).over(Window.partitionBy()))})
     counts = counts.filter("step is not null").withColumns({"lost": F.sum("lost").over(so_far), "caught": F.sum("caught").over(so_far)})
     safe = F.when(F.col("lost") <= risk * F.col("n"), binomial_tail(F.col("lost"), F.col("n"), risk) <= delta / F.col("strata")).otherwise(False)
     certified = counts.withColumn("safe", F.min(safe).over(so_far)).filter("safe and caught > 0")

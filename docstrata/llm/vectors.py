@@ -93,7 +93,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABLES,
     n_links counts other rows linked directly; component_id is the smallest id reachable, its own included; kept says
     that this is the row's id. Null, zero, non-finite vectors and those with null components link with nothing, nor
     do vectors of different widths. Equal vectors are linked without being compared. Rows without an id are linked
-    but name no component; if none of a component has an id, component_id is null and kept true. Only the id and the
+    but name no component; if none of a component has an id, component_id is null and kept true. Finite vectors of any
+    size are compared, however large or small. Only the id and the
     vector are read, so other columns can't clash; an empty table gives no row. Vectors of any width are held whole.
     """
     key = vectors.schema[id_col].dataType
@@ -111,6 +112,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABLES,
                 for at in range(0, own.num_rows, 1024):
                     part = own.slice(at, 1024)
                     x = part.column(1).flatten().to_numpy().reshape(-1, int(w))
+                    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # by a power of two: exact, and squares stay finite
                     c = codes(x, tables, probes)
                     m = len(x)
                     rows = np.repeat(np.arange(m), tables * (1 + probes))

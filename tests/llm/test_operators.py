@@ -347,6 +347,28 @@ def test_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    from docstrata.llm.vectors import near_vectors
+
+    near = [1.0] * 7 + [1.5]
+    rows = [(1, [1e200] * 8), (2, [1e200 * x for x in near]), (3, [1.0] * 8), (4, [1e-200] * 8), (5, [5e-324] * 8), (6, [-1e200] * 8), (7, [1e200, -1e200] * 4)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{k: (4, 1) for k in (1, 2, 3, 4, 5)}, 6: (0, 6), 7: (0, 7)}
+
+
+def test_null_stratum_beside_an_empty_one(spark):
+    """170 good labels are enough for one stratum, not for each of two."""
+    from docstrata.llm.quality import calibrate
+
+    columns = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    figures = lambda bad: (50, 250, 500 if bad else 0, 1, 0, 0, False)
+    one = [(i, "", *figures(i >= 170)) for i in range(200)]
+    two = one + [(1000 + i, None, *figures(i >= 170)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 1000 < 170)) for i in [*range(200), *range(1000, 1200)]], "doc_id long, quality int")
+    count = lambda rows: calibrate(spark.createDataFrame(rows, f"doc_id long, lang string, {columns}"), labels).count()
+    assert (count(one), count(two)) == (1, 0)
+
+
 def test_vector_recall():
     from docstrata.llm.vectors import codes
 
