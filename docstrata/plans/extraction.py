@@ -27,7 +27,7 @@ _CELLS = {
     "amount": "CASE WHEN l_returnflag = 'A' THEN concat(CAST(l_linenumber AS STRING), ',', lpad(CAST(CAST(l_quantity AS INT) AS STRING), 3, '0'), ' t') WHEN l_returnflag = 'N' THEN concat('约 ', CAST(CAST(l_quantity AS INT) AS STRING), '.5 万 吨') WHEN l_linenumber = 1 THEN '—' ELSE concat('A-', CAST(CAST(l_quantity AS INT) AS STRING), 'kg/h') END",
     "unit": "CASE WHEN l_linestatus = 'O' THEN '' ELSE ' 吨 /年 ' END",
     "distance": "CASE WHEN l_tax > 0.07 THEN '紧邻' ELSE concat('N，', CAST(CAST(l_quantity AS INT) * 20 + 100 AS STRING), 'm') END",
-    "limit": "CASE WHEN l_discount < 0.01 THEN NULL ELSE CAST(CAST(l_discount * 100 AS INT) AS STRING) END",
+    "limit": "CASE WHEN l_discount < 0.01 THEN NULL ELSE CAST(CAST(round(l_discount * 100) AS INT) AS STRING) END",
     "note": "p_type",
 }
 

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from docstrata.plans import audit, catalog, dialogue, documents, evidence, extraction, forms, graph, replies, retrieval, rules, streams  # noqa: F401
+    from docstrata.plans import audit, catalog, dialogue, documents, evidence, extraction, forms, graph, items, replies, retrieval, rules, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
