@@ -145,20 +145,30 @@ def decided(facts: DataFrame, inputs: list[str], table: list[tuple], outputs: li
     """``facts`` with the outputs of the row of a decision table that fits.
 
     table: a cell for each input (``ANY`` fits all, "null" null), the outputs, and 1 if the row overrides the others. Of
-    the rows that fit an overriding one wins, then the one with most cells bound, then the first. Each fact enters a join
-    once for each set of bound cells that the table has, with just those cells in its key, so rows are never compared
-    with all rows of the table. Facts that no row fits have null outputs.
+    the rows that fit an overriding one wins, then the one with most cells bound, then the first. The rows of each set of
+    bound cells are one small table, joined by just those cells, so facts are never compared with all rows, and don't
+    move while the tables are small enough to be sent. Facts that no row fits have null outputs.
     """
     n = len(inputs)
-    masks = sorted({tuple(c != ANY for c in row[:n]) for row in table})
-    rows = [("\x1f".join(row[:n]), -row[-1], -sum(c != ANY for c in row[:n]), k, *row[n:-1]) for k, row in enumerate(table)]
-    rules = facts.sparkSession.createDataFrame(rows, f"_key string, _after int, _bound int, _row int, {', '.join(f'`_o_{o}` string' for o in outputs)}")
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in inputs]
-    keys = F.array(*[F.concat_ws("\x1f", *[c if bound else F.lit(ANY) for c, bound in zip(cells, mask)]) for mask in masks])
-    d = facts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_key", F.explode(keys)).join(F.broadcast(rules) if len(rows) <= 10_000 else rules, "_key", "left")
-    best = F.when(F.col("_row").isNotNull(), F.struct("_after", "_bound", "_row", *[F.col(f"_o_{o}").alias(o) for o in outputs]))
-    d = d.groupBy("_id").agg(*[F.first(c).alias(c) for c in facts.columns], F.min(best).alias("_best"))
-    return d.select(*facts.columns, *[F.col("_best")[o].alias(o) for o in outputs])
+    by_mask: dict[tuple, dict[tuple, tuple]] = {}
+    for k, row in enumerate(table):
+        mask = tuple(c != ANY for c in row[:n])
+        held = by_mask.setdefault(mask, {})
+        cells, rank = tuple(c for c, bound in zip(row[:n], mask) if bound), (-row[-1], -sum(mask), k)
+        if cells not in held or rank < held[cells][0]:
+            held[cells] = (rank, row[n:-1])
+    d, found = facts, []
+    for m, (mask, rows) in enumerate(by_mask.items()):
+        bound = [k for k in range(n) if mask[k]]
+        schema = ", ".join([*[f"_c{m}_{k} string" for k in bound], f"_f{m} struct<after: int, bound: int, row: int, {', '.join(f'{o}: string' for o in outputs)}>"])
+        rules = facts.sparkSession.createDataFrame([(*cells, (*rank, *values)) for cells, (rank, values) in rows.items()], schema)
+        fits = F.lit(True)
+        for k in bound:
+            fits = fits & (F.coalesce(F.col(inputs[k]).cast("string"), F.lit("null")) == F.col(f"_c{m}_{k}"))
+        d = d.join(F.broadcast(rules) if len(rows) <= 10_000 else rules, fits, "left").drop(*[f"_c{m}_{k}" for k in bound])
+        found.append(F.col(f"_f{m}"))
+    best = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return d.withColumn("_best", best).select(*facts.columns, *[F.col("_best")[o].alias(o) for o in outputs])
 
 
 def element_verdicts(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -194,8 +204,13 @@ def element_facts(verdicts: DataFrame, stated: DataFrame, evidence: DataFrame, r
     pollutants stand on pages of waste water). An undecided sea isn't wanted by the nature of a project that isn't
     marine, an undecided ecology by the absence of any intake.
     """
-    d = verdicts.join(reports, keys).join(stated.select(*keys, "element", F.col("set").alias("stated")), [*keys, "element"], "left")
-    d = d.join(evidence.select(*keys, "element").distinct().withColumn("evidence", F.lit(True)), [*keys, "element"], "left")
+    none = F.lit(None).cast("boolean")
+    told = verdicts.select(*keys, "element", (F.col("status") == "decided").alias("known"), "wanted", none.alias("stated"), none.alias("evidence"))
+    told = told.unionByName(stated.select(*keys, "element", none.alias("known"), none.alias("wanted"), F.col("set").alias("stated"), none.alias("evidence")))
+    told = told.unionByName(evidence.select(*keys, "element", none.alias("known"), none.alias("wanted"), none.alias("stated"), F.lit(True).alias("evidence")))
+    # all that is told of a report moves once; both groupings and the join find it in place
+    d = told.repartition(*[F.col(k) for k in keys]).groupBy(*keys, "element").agg(*[F.max(c).alias(c) for c in ("known", "wanted", "stated", "evidence")])
+    d = d.filter("known IS NOT NULL").withColumn("status", F.when(F.col("known"), "decided").otherwise("unknown")).join(reports, keys)
     about = F.concat_ws(" ", "project", "industry")
     nature = (F.col("element") == "海洋") & (F.col("status") == "unknown") & ~about.rlike(MARINE)
     absence = (F.col("element") == "生态") & (F.col("status") == "unknown") & ~F.coalesce("intake", F.lit(False))
@@ -260,8 +275,8 @@ def located_parts(pages: DataFrame, kinds: DataFrame, keys: list[str], most: int
     need = [(form, k, part, w, word) for form, parts in ((True, REQUIRED_FORM), (False, REQUIRED_BOOK)) for k, (part, words) in enumerate(parts) for w, word in enumerate(words)]
     words = sorted({x[4] for x in need})
     text = F.coalesce(F.col("text"), F.lit(""))
-    seen = F.array(*[F.struct(F.lit(w).alias("word"), ((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long").alias("n"), text.rlike(CHAPTER + w).alias("chapter"), text.rlike(SECTION + w).alias("section")) for w in words])
-    hits = pages.select(*keys, "page", F.explode(F.filter(seen, lambda x: x["n"] > 0)).alias("h")).select(*keys, "page", "h.*")
+    seen = F.array(*[F.when(F.contains(text, F.lit(w)), F.struct(F.lit(w).alias("word"), ((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long").alias("n"), text.rlike(CHAPTER + w).alias("chapter"), text.rlike(SECTION + w).alias("section"))) for w in words])
+    hits = pages.select(*keys, "page", F.explode(F.filter(seen, lambda x: x.isNotNull())).alias("h")).select(*keys, "page", "h.*")
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "word").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = hits.withColumn("before", before).filter(F.col("before") < most)
     best = hits.groupBy(*keys, "word").agg(F.coalesce(F.min(F.when(F.col("chapter"), F.col("page"))), F.min(F.when(F.col("section"), F.col("page"))), F.min("page")).alias("page"))

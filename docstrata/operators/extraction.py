@@ -303,9 +303,8 @@ def basic_fields(pages: DataFrame, tables: DataFrame, names: DataFrame, keys: li
 def rule_hits(pages: DataFrame, keys: list[str], rules: list[tuple[str, str, object]], around: int = 80) -> DataFrame:
     """The first hit of each rule by report: rule (its number), key, page, and the hit with so many characters around it.
 
-    rules: (key, pattern, value). All rules are tried on a page in one pass over the pages; pages that none of the
-    patterns fits are left out first by all of them in one alternation. A page's hit is cut out there, so what is
-    shuffled is one short text a report, rule and partition.
+    rules: (key, pattern, value). All rules are tried on a page in one pass over the pages. A page's hit is cut out there,
+    so what is shuffled is one short text a report, rule and partition.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -314,11 +313,10 @@ def rule_hits(pages: DataFrame, keys: list[str], rules: list[tuple[str, str, obj
         at = F.regexp_instr(text, F.lit(pattern))
         begin = F.greatest(at - around, F.lit(1))
         cut = collapse(F.substring(text, begin, at - begin + F.length(hit) + around))
-        return F.when(at > 0, F.struct(F.lit(k).alias("rule"), F.lit(key).alias("key"), cut.alias("quote")))
+        return F.when(hit.isNotNull(), F.struct(F.lit(k).alias("rule"), F.lit(key).alias("key"), cut.alias("quote")))
 
-    some = text.rlike("|".join(f"(?:{p})" for _, p, _ in rules))
     found = F.filter(F.array(*[one(k, key, p) for k, (key, p, _) in enumerate(rules)]), lambda x: x.isNotNull())
-    hits = pages.filter(some).select(*keys, "page", F.explode(found).alias("f"))
+    hits = pages.select(*keys, "page", F.explode(found).alias("f"))
     first = hits.groupBy(*keys, F.col("f.rule").alias("rule"), F.col("f.key").alias("key")).agg(F.min(F.struct("page", "f.quote")).alias("h"))
     return first.select(*keys, "rule", "key", "h.page", "h.quote")
 

@@ -9,7 +9,7 @@ from docstrata.functions import text as T
 from docstrata.operators import corpus
 from docstrata.operators.phrases import holding
 from docstrata.plans.registry import register
-from docstrata.sources.tables import table
+from docstrata.sources.tables import spread, table
 
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents"
 
@@ -79,7 +79,7 @@ t AS (SELECT item_id, count(*) AS grams FROM bg GROUP BY item_id),
 h AS (SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (gram) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, CAST(shared AS BIGINT) AS shared, round(shared / grams, 6) AS share FROM h JOIN t USING (item_id)""")
 def contamination_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.shared_grams(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 8)
+    return corpus.shared_grams(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 8)
 
 
 @register("citation_check", """

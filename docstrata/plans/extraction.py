@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docstrata.operators import extraction as X
 from docstrata.plans.registry import register
-from docstrata.sources.tables import table
+from docstrata.sources.tables import spread, table
 
 #: Header rows, and what the cells below them hold, by form of table: with a unit in the header, with a unit column, of
 #: another kind, of risks, of places, without a header, and with a header over two rows.
@@ -218,5 +218,5 @@ SELECT doc_id, key, ([{values}])[r + 1] AS value, CAST(page AS INTEGER) AS page,
 @register("text_findings", _findings_sql())
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty ordered rules with guards over all lines of all documents, in one pass."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
     return X.findings(d.withColumn("page", F.col("page") + 1), ["doc_id"], _RULES, _GUARDS, around=40)

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a scan of few files dealt to all cores, for work that costs more than a shuffle; larger scans as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def markdown_bundle(spark: SparkSession, path: str) -> DataFrame:
     """path, meta (flat ``key: value`` lines of the front matter) and body of every .md file below ``path``.
 
