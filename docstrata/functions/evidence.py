@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HAN = "\u4e00-\u9fff"
@@ -259,3 +259,52 @@ def applies(text: Column, all_of: Column, any_of: Column, and_any_of: Column, ex
     has = lambda words: F.exists(words, lambda w: F.contains(text, w))
     none = lambda words: F.size(words) == 0
     return ~has(exclude_if) & F.forall(all_of, lambda w: F.contains(text, w)) & (none(any_of) | has(any_of)) & (none(and_any_of) | has(and_any_of))
+
+
+# What doesn't count when a value is looked for in a text.
+SIGNS = "[\\s，。、；：！？,.;:!?（）()\\[\\]【】《》\"'“”‘’\\-—~·]"
+
+
+def leaf_faults(rows: DataFrame, keys: list[str], value: str, text: str, deepest: int = 6) -> DataFrame:
+    """Which parts of a JSON value the text doesn't bear: keys, ok, and faults (path and reason, by path).
+
+    Objects and lists are opened level by level as variants, all rows of a level at once, down to single values. A
+    string must stand in the text, a number as it is generally written; both without white space and signs. Booleans
+    and empty strings need no evidence, null has none, nor has anything if the text is empty, or deeper than
+    ``deepest``. A value that isn't JSON is one fault.
+    """
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), SIGNS, "")
+    spark = rows.sparkSession
+    parsed = F.try_parse_json(F.col(value))
+    level = rows.select(*keys, plain(F.col(text)).alias("_t"), parsed.alias("_v"), F.lit("").alias("_path"), F.lit(False).alias("_deep"))
+    leaves = []
+    for depth in range(deepest + 1):
+        kind = F.schema_of_variant("_v")
+        level = level.withColumn("_kind", F.coalesce(kind, F.lit("BROKEN")))
+        open_ = F.col("_kind").rlike("^(OBJECT|ARRAY)")
+        if depth == deepest:
+            leaves.append(level.withColumn("_deep", open_))
+            break
+        leaves.append(level.filter(~open_))
+        part = level.filter(open_).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        path = F.concat("_path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("_path") == "", "").otherwise("."), "key")))
+        level = part.select(*keys, "_t", F.col("value").alias("_v"), path.alias("_path"), "_deep")
+    d = leaves[0].select(*keys, "_t", "_v", "_path", "_deep", "_kind")
+    for x in leaves[1:]:
+        d = d.unionByName(x.select(*keys, "_t", "_v", "_path", "_deep", "_kind"))
+    said = F.variant_get("_v", "$", "string")
+    number = F.col("_kind").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    fault = (
+        F.when(F.col("_kind") == "BROKEN", "not JSON")
+        .when(F.col("_deep"), "too deep")
+        .when(F.col("_t") == "", "empty text")
+        .when(F.col("_kind") == "BOOLEAN", None)
+        .when(F.col("_kind") == "VOID", "null")
+        .when(number, F.when(~F.contains("_t", general_format(said.try_cast("double"))), F.concat(F.lit("number "), said)))
+        .when((plain(said) != "") & ~F.contains("_t", plain(said)), F.concat(F.lit("not said: "), F.substring(said, 1, 40)))
+    )
+    found = d.select(*keys, F.when(fault.isNotNull(), F.struct(F.col("_path").alias("path"), fault.alias("reason"))).alias("f"))
+    told = found.groupBy(*keys).agg(F.array_sort(F.collect_list("f")).alias("faults"))
+    # an empty object or list has no leaf
+    all_rows = rows.select(*keys).distinct().join(told, keys, "left").withColumn("faults", F.coalesce("faults", F.array().cast("array<struct<path:string,reason:string>>")))
+    return all_rows.select(*keys, (F.size("faults") == 0).alias("ok"), "faults")

@@ -176,6 +176,20 @@ def latex_to_text(text: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(t, r"\\[a-zA-Z]+\b", " "), "[{}]", ""))
 
 
+def inline_formulas(text: Column) -> Column:
+    """A text with its formulas between dollar signs, of up to 200 characters on a line, as plain text.
+
+    Single dollar signs, commands outside of formulas and brackets with nothing left in them go; runs of blanks become one.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\$([^$\n]{1,200})\$", "\u0003$1\u0004")
+    plain = lambda p: F.concat(F.lit(" "), latex_to_text(F.substring_index(p, "\u0004", 1)), F.lit(" "), F.substring_index(p, "\u0004", -1))
+    pieces = F.transform(F.split(t, "\u0003", -1), lambda p: F.when(F.contains(p, F.lit("\u0004")), plain(p)).otherwise(p))
+    t = F.replace(F.array_join(pieces, ""), F.lit("$"), F.lit(" "))
+    for pattern, instead in ((r"\\[a-zA-Z]{2,}", " "), (r"[（(]\s*[）)]", ""), (r"[【\[]\s*[】\]]", ""), (r"[ \t]{2,}", " ")):
+        t = F.regexp_replace(t, pattern, instead)
+    return strip(t)
+
+
 def markdown_row(cells: Column) -> Column:
     """A row of a Markdown table, with pipes escaped."""
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))

@@ -263,7 +263,11 @@ def self_reference(pages: DataFrame, keys: list[str], patterns: list[str], needs
     One row a report with such a hit: value, page. The pages are read once for all patterns.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda h, i, k=k: F.struct(F.lit(k).alias("k"), i.alias("i"), collapse(h).alias("hit"))) for k, p in enumerate(patterns)]))
+
+    def placed(k: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("i"), collapse(h).alias("hit")))
+
+    hits = F.flatten(F.array(*[placed(k, p) for k, p in enumerate(patterns)]))
     d = pages.select(*keys, "page", F.explode(hits).alias("h")).select(*keys, "page", "h.*")
     w = Window.partitionBy(*keys, "k").orderBy("page", "i")
     d = d.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)

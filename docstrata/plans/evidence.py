@@ -29,6 +29,15 @@ def latex_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[T.latex_to_text(x).alias(k) for k, x in (("a", a), ("b", b), ("c", c))])
 
 
+@register("inline_formulas", r"""
+SELECT p_partkey, '当 ' || p_name || p_size || ' × 10⁻' || translate(CAST(p_size AS VARCHAR), '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') || ' m/s 时，' || p_type || ' ≥ 1/' || p_size || ' ，共' || p_size || '个， 价 ' || p_retailprice AS text FROM part""")
+def inline_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two formulas in a sentence, one dollar sign alone, a command outside and brackets that are left empty."""
+    n = S("p_size")
+    text = _cat("当$", F.col("p_name"), "_{", n, r"} {\times} 10^{-", n, r"}\,\mathrm{m/s}$时，", F.col("p_type"), r"$\geq \frac{1}{", n, "}$，共", n, r"个（$ \unknown $）， 价 \mathrm $", F.col("p_retailprice").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.inline_formulas(text).alias("text"))
+
+
 @register("cell_cleanup", "SELECT p_partkey, '环境风险' || p_name || ' 评价 A' AS cell FROM part")
 def cell_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = _cat("  环境 \n 风 险", F.replace("p_name", F.lit(" "), F.lit("\t ")), "  评\n价  A ")
@@ -196,3 +205,26 @@ def negation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 5
     text = F.when(k == 0, "本项目不采用电镀工艺。").when(k == 1, "电镀工艺部分没有").when(k == 2, "没有厂房。电镀工艺").when(k == 3, "本项目采用电镀工艺").otherwise("未建一二三四五六七八九十一二三四五电镀工艺")
     return table(spark, sf_dir, "part").select("p_partkey", E.negated(text, F.lit("电镀工艺的")).alias("negated"))
+
+
+#: A nested value and a text that bears some of it, as SQL for Spark and DuckDB.
+_NESTED = """concat('{"name": "', p_name, '", "sizes": [', CAST(p_size AS STRING), ', ', CAST(p_partkey AS STRING), '], "more": {"brand": "', p_brand, '", "sold": true, "note": ', CASE WHEN p_size % 7 = 0 THEN 'null' WHEN p_size % 7 = 1 THEN '{}' WHEN p_size % 7 = 2 THEN '""' ELSE concat('["', p_type, '"]') END, '}}')"""
+_SAID = "concat(CASE WHEN p_size % 5 = 0 THEN '' ELSE concat(p_name, '，') END, CAST(p_size AS STRING), ' 个，', CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE lower(p_brand) END, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS STRING) ELSE '' END, CASE WHEN p_size % 2 = 0 THEN concat('（', p_type, '）') ELSE '' END)"
+_BARE = """regexp_replace({0}, '[\\s，。、；：！？,.;:!?（）()\\[\\]【】《》"''“”‘’\\-—~·]', '', 'g')"""
+
+
+@register("nested_evidence", f"""
+WITH d AS (SELECT *, {_BARE.format(_SAID.replace("STRING", "VARCHAR"))} AS t FROM part),
+f AS (SELECT p_partkey, list_filter([
+  CASE WHEN NOT contains(t, {_BARE.format("p_brand")}) THEN 'more.brand|not said: ' || p_brand END,
+  CASE WHEN p_size % 7 = 0 THEN 'more.note|null' END,
+  CASE WHEN p_size % 7 > 2 AND NOT contains(t, {_BARE.format("p_type")}) THEN 'more.note[0]|not said: ' || p_type END,
+  CASE WHEN NOT contains(t, {_BARE.format("p_name")}) THEN 'name|not said: ' || p_name END,
+  CASE WHEN NOT contains(t, CAST(p_size AS VARCHAR)) THEN 'sizes[0]|number ' || p_size END,
+  CASE WHEN NOT contains(t, CAST(p_partkey AS VARCHAR)) THEN 'sizes[1]|number ' || p_partkey END], lambda x: x IS NOT NULL) AS f FROM d)
+SELECT p_partkey, len(f) = 0 AS ok, array_to_string(f, '; ') AS faults FROM f""")
+def nested_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, lists and objects in objects, held leaf by leaf against a text."""
+    d = table(spark, sf_dir, "part").select("p_partkey", F.expr(_NESTED).alias("value"), F.expr(_SAID).alias("text"))
+    out = E.leaf_faults(d, ["p_partkey"], "value", "text")
+    return out.select("p_partkey", "ok", F.array_join(F.transform("faults", lambda x: F.concat_ws("|", x["path"], x["reason"])), "; ").alias("faults"))

@@ -27,6 +27,24 @@ def markdown_bundle(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), head.alias("meta"), body.alias("body")).filter(F.length(F.trim("body")) > 0)
 
 
+def markdown_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Every .md file below ``path``, in order of paths, of the first ``limit``: path, place from 1, readable, meta and body.
+
+    A file that isn't UTF-8 is there with readable false and no body, so that what was left out can be counted. Files
+    are read one by one in tasks; only paths are sorted, by ranges, for their places.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
+    places = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path).select("path")
+    order = Window.orderBy("path")  # one row a file: a limit needs their order
+    places = places.withColumn("place", F.row_number().over(order))
+    if limit is not None:
+        places = places.filter(F.col("place") <= limit)
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
+    head, body = front_matter(F.col("text"))
+    d = files.join(places, "path").select("path", "place", text.alias("text"))
+    return d.select("path", "place", F.col("text").isNotNull().alias("readable"), F.when(F.col("text").isNotNull(), head).alias("meta"), body.alias("body"))
+
+
 def front_matter(text: Column) -> tuple[Column, Column]:
     """The map of the leading ``---`` block and the text after it; an empty map and the whole text without one."""
     pattern = r"(?s)^---\s*\n(.*?)\n---\s*\n(.*)$"
