@@ -123,26 +123,28 @@ def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("quote_verify", r"""
-WITH g AS (SELECT item_id, list_filter(string_split(text, '.'), lambda x: length(trim(x)) >= 6) AS parts FROM benchmark),
-w AS (SELECT item_id, regexp_replace(parts[1], '\s+', '', 'g') AS bare FROM g WHERE len(parts) > 0),
+WITH g AS (SELECT item_id, unnest(list_filter(string_split(text, '.'), lambda x: length(trim(x)) >= 6)) AS part FROM benchmark),
+w AS (SELECT DISTINCT item_id, regexp_replace(part, '\s+', '', 'g') AS bare FROM g),
 d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS bare FROM documents)
-SELECT item_id, doc_id FROM w JOIN d ON contains(d.bare, w.bare)""")
+SELECT item_id, doc_id, CAST(count(*) AS BIGINT) AS quotes FROM w JOIN d ON contains(d.bare, w.bare) WHERE w.bare <> '' GROUP BY item_id, doc_id""")
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first sentence of a benchmark passage, white space aside."""
+    """Documents that hold sentences of a benchmark passage, white space aside, and how many of them."""
     parts = F.filter(F.split("text", r"\.", -1), lambda x: F.length(F.trim(x)) >= 6)
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", T.blank_free(F.get(parts, F.lit(0))).alias("phrase")).filter("phrase != ''")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.explode(parts).alias("part")).select("item_id", T.blank_free(F.col("part")).alias("phrase")).filter("phrase != ''").distinct()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.blank_free(F.col("text")).alias("text"))
-    return holding(docs, quotes).join(quotes, "phrase").select("item_id", F.col("id").alias("doc_id"))
+    held = holding(docs, quotes).join(quotes, "phrase")
+    return held.groupBy("item_id", F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("quotes"))
 
 
 @register("anchor_levels", r"""
-WITH q AS (SELECT item_id, text AS quote, string_split(text, ' ')[1] AS word FROM benchmark),
+WITH q AS (SELECT item_id, text AS quote, (list_max(list_transform(string_split(text, ' '), lambda x: {'n': length(x), 'w': x}))).w AS word FROM benchmark),
 x AS (SELECT item_id, CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, quote)) THEN 'exact' WHEN EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(word))) THEN 'keyword' ELSE 'none' END AS level FROM q)
 SELECT level, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY level""")
 def anchor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How benchmark passages are found in documents: whole, by their first word, or not at all."""
+    """How benchmark passages are found in documents: whole, by their longest word, or not at all."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    p = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.lower(F.element_at(F.split("text", " "), 1)).alias("word"))
+    longest = F.array_max(F.transform(F.split("text", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    p = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.lower(longest["w"]).alias("word"))
     whole = holding(docs, p.select(F.col("quote").alias("phrase"))).select(F.col("phrase").alias("quote")).distinct().withColumn("exact", F.lit(True))
     heads = holding(docs.withColumn("text", F.lower("text")), p.select(F.col("word").alias("phrase"))).select(F.col("phrase").alias("word")).distinct().withColumn("keyword", F.lit(True))
     out = p.join(whole, "quote", "left").join(heads, "word", "left")

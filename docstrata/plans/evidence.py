@@ -45,13 +45,12 @@ def cell_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("squeezed_find", r"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents), n AS (SELECT *, regexp_replace(substr(t, 11, 30), '\s', '', 'g') AS needle, regexp_replace(t, '\s', '', 'g') AS s FROM d),
+WITH n AS (SELECT doc_id, text AS t, regexp_replace(string_split(text, chr(10))[-1], '\s', '', 'g') AS needle, regexp_replace(text, '\s', '', 'g') AS s FROM documents),
 p AS (SELECT *, instr(s, needle) AS p, list_filter(range(1, length(t) + 1), lambda i: NOT regexp_matches(t[i], '\s')) AS places FROM n)
 SELECT doc_id, CAST(CASE WHEN needle <> '' AND p > 0 THEN places[p] END AS INTEGER) AS a, CAST(CASE WHEN needle <> '' AND p > 0 THEN places[p + length(needle) - 1] END AS INTEGER) AS z FROM p""")
 def squeezed_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where 30 characters of a document's first line stand in it, blanks left out of the question."""
-    line = F.substring_index("text", "\n", 1)
-    d = table(spark, sf_dir, "documents").select("doc_id", E.squeezed_find(line, F.substring(line, 11, 30)).alias("s"))
+    """Where a document's last line stands in it first, blanks left out of the question."""
+    d = table(spark, sf_dir, "documents").select("doc_id", E.squeezed_find(F.col("text"), F.substring_index("text", "\n", -1)).alias("s"))
     return d.select("doc_id", F.col("s.begin").alias("a"), F.col("s.end").alias("z"))
 
 
@@ -75,14 +74,14 @@ def quote_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("table_match", """
-SELECT p_partkey, p_size || '|CO|随烟气排放|7.5' AS cells, CASE WHEN p_size >= 20 AND p_size % 10 <> 7 THEN 1 ELSE 0 END AS found FROM part WHERE p_size >= 10""")
+SELECT p_partkey, p_size || '|CO|随烟气排放|7.5' AS cells, CASE WHEN p_size >= 20 AND p_size % 10 <> 7 THEN 1 ELSE 0 END AS found FROM part""")
 def table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of two tables that holds all cells of a row: sizes of 20 or more stand in the second, or across cells (12|7.5 holds 27)."""
     cells = E.quote_cells(_cat(S("p_size"), " | CO\t随烟气排放  — ｜ 7.5 | / "))
     some = lambda a, b: F.concat(F.array(F.array(F.lit("气体"), F.lit("CO 随烟气 排放"))), F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.array(i.cast("string"), F.lit("7.5"))))
     tables = F.array(some(10, 19), some(10, 60))
     fits = F.filter(F.transform(tables, lambda t, i: F.when(E.holds_cells(t, F.col("row")), i)), lambda i: i.isNotNull())
-    d = table(spark, sf_dir, "part").filter("p_size >= 10").withColumn("row", cells)
+    d = table(spark, sf_dir, "part").withColumn("row", cells)
     return d.select("p_partkey", F.array_join("row", "|").alias("cells"), F.get(fits, F.lit(0)).alias("found"))
 
 
@@ -177,7 +176,7 @@ def node_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.create_map(*[x for kv in pairs.items() for x in (F.lit(kv[0]), kv[1])])
     node = _cat("n", S("p_partkey"))
     lines = E.digest(F.array(F.col("p_name"), _cat(" ", F.col("p_type"), "\n"), F.lit("a \n b"), F.lit("c"), F.lit("d")), 4, 4)
-    d = table(spark, sf_dir, "part").filter("length(p_name) > 4")
+    d = table(spark, sf_dir, "part")
     whole = E.digest(F.array(F.col("p_name"), F.lit("a \n b"), F.lit("c"), F.lit("d"), F.lit("e")), 3, 4)
     return d.select("p_partkey", E.node_name(node, props).alias("name"), E.suggested_name(node, props).alias("suggested"), F.size(E.node_props(props)).alias("filled"), F.array_join(F.concat(F.slice(whole, 1, 1), F.array("p_type"), F.slice(lines, 3, 2)), "|").alias("digest"))
 

@@ -106,7 +106,7 @@ def catalog_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("standard_suggest", """
-WITH f AS (SELECT DISTINCT l_suppkey AS key, p_type AS word FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 48),
+WITH f AS (SELECT DISTINCT l_suppkey AS key, p_type AS word FROM lineitem JOIN part ON p_partkey = l_partkey),
 s AS (SELECT p_brand AS code, p_type AS word, count(*) AS n, sum(count(*)) OVER (PARTITION BY p_brand) AS citations FROM part GROUP BY p_brand, p_type HAVING count(*) >= 1),
 h AS (SELECT key, code, sum(CASE WHEN word IN ('STANDARD', 'SMALL') THEN 1 ELSE 5 END) + least(max(citations), 7) AS score FROM f JOIN s USING (word) GROUP BY key, code)
 SELECT key, code, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, code) AS BIGINT) AS place FROM h QUALIFY place <= 8""")
@@ -114,7 +114,7 @@ def standard_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     part = table(spark, sf_dir, "part")
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("p_partkey"))
     features = lines.join(part.select("p_partkey", F.col("p_type").alias("word")), "p_partkey").select("key", "word")
     words = part.groupBy(F.col("p_brand").alias("code"), F.col("p_type").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     standards = words.withColumn("citations", F.sum("n").over(Window.partitionBy("code"))).drop("n")
