@@ -345,3 +345,78 @@ def overridden(by_text: DataFrame, by_table: DataFrame, keys: list[str]) -> Data
     both = by_text.select(*columns, F.lit(1).alias("_of")).unionByName(by_table.select(*columns, F.lit(0).alias("_of")))
     best = both.groupBy(*keys, "key").agg(F.min(F.struct("_of", "value", "page", "quote", "method")).alias("b"))
     return best.select(*keys, "key", "b.value", "b.page", "b.quote", "b.method")
+
+
+# What glues, paints, solvents and those without are called, and the catalogue's terms for them.
+GLUE = r"胶粘剂|胶黏剂|胶水|粘合剂|粘结剂|热熔胶|白乳胶"
+PAINT = r"涂料|油漆|漆类|面漆|底漆"
+SOLVENTS = r"乙酸乙酯|乙酸丁酯|醋酸丁酯|甲苯|二甲苯|丙酮|丁酮|环己酮|二氯甲烷|三氯乙烯|四氯乙烯|甲醇|乙醇|异丙醇|溶剂油|稀释剂|香蕉水|天那水"
+SOLVENT_BASED = r"溶剂型|溶剂"
+LOW_VOC = r"水性|非溶剂型|低\s*VOCs?|无溶剂|粉末涂料|UV\s*涂料"
+TERMS = {"glue low": "非溶剂型低VOCs含量胶粘剂", "glue": "溶剂型胶粘剂", "paint low": "非溶剂型低VOCs含量涂料", "paint": "溶剂型涂料（含稀释剂）"}
+PRODUCT_TABLE = r"产品|规格|规模|建设内容|工程内容|产量"
+# End of fixed values.
+
+
+def mapped_terms(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Materials with the catalogue's term that they fall under, or why they fall under none: ``term`` and ``why``.
+
+    found: the keys, name, quantity and quote. A material without a quantity counts for nothing. A glue is low in solvents
+    if it or its row says so, else solvent-based if these say that or the report uses any solvent; a paint only if it
+    says so itself. ``solvents`` are the report's, sorted.
+    """
+    own = F.concat(F.coalesce("name", F.lit("")), F.coalesce("quote", F.lit("")))
+    blob = F.concat_ws(" ", "name", F.coalesce("quote", F.lit("")))
+    used = F.array_sort(F.collect_set(F.when(own.rlike(SOLVENTS), F.col("name"))).over(Window.partitionBy(*keys)))
+    glue, paint = F.coalesce(F.col("name").rlike(GLUE), F.lit(False)), F.coalesce(F.col("name").rlike(PAINT), F.lit(False))
+    low, based = blob.rlike(LOW_VOC), blob.rlike(f"{SOLVENT_BASED}|{SOLVENTS}")
+    d = found.withColumn("solvents", used)
+    of_glue = F.when(low, TERMS["glue low"]).when(based | (F.size("solvents") > 0), TERMS["glue"])
+    of_paint = F.when(low, TERMS["paint low"]).when(based, TERMS["paint"])
+    d = d.withColumn("term", F.when(F.col("quantity").isNull(), None).when(glue, of_glue).when(paint, of_paint))
+    why = F.when(F.col("quantity").isNull(), "no quantity").when(glue, "glue of unknown kind").when(paint, "paint of unknown kind").otherwise("no such term")
+    return d.withColumn("why", F.when(F.col("term").isNull(), why))
+
+
+def term_totals(mapped: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What a report uses of each term: total, the last unit given, and the number of its materials."""
+    named = F.when(F.coalesce("unit", F.lit("")) != "", F.struct(*order))
+    d = mapped.filter("term IS NOT NULL").groupBy(*keys, "term")
+    return d.agg(F.sum("quantity").alias("total"), F.coalesce(F.max_by("unit", named), F.lit("")).alias("unit"), F.count(F.lit(1)).alias("materials"))
+
+
+def project_digest(facts: DataFrame, tables: DataFrame, anchors: DataFrame, found: DataFrame, keys: list[str], most_rows: int = 14, most_lines: int = 120) -> DataFrame:
+    """What a report is about in lines that stand on its pages, each with its page: keys and digest.
+
+    First the facts (key order, value, page), then the tables near the products' anchor, if their header speaks of such,
+    and near the materials' anchor: a header and up to ``most_rows`` rows each; then the first 20 materials. A report's
+    lines are numbered by where they come from, so only ``most_lines`` of them are joined.
+    """
+    tag = lambda page, text: F.concat(F.lit("【第"), page.cast("string"), F.lit("页】"), text)
+    told = facts.filter("value IS NOT NULL AND value != ''").select(*keys, F.lit(0).alias("part"), F.lit(0).alias("table"), F.col("order").cast("int").alias("line"), tag(F.col("page"), F.col("value")).alias("text"))
+    parts = []
+    for k, anchor in ((1, "产品方案"), (2, "原辅材料")):
+        near = near_anchor(tables, anchors, keys, {anchor: 2}).filter("near")
+        head = _joined_all(F.get("rows", F.lit(0)), 100)
+        body = F.filter(F.transform(F.slice("rows", 2, most_rows), lambda r: F.substring(F.array_join(F.filter(F.transform(r, lambda c: collapse(F.coalesce(c, F.lit("")))), lambda c: c != ""), "  "), 1, 150)), lambda x: x != "")
+        d = near.select(*keys, "page", "table", head.alias("head"), body.alias("body")).filter(F.size("body") > 0)
+        if k == 1:
+            d = d.filter(F.col("head").rlike(PRODUCT_TABLE))
+        parts.append(d.select(*keys, F.lit(k).alias("part"), (F.col("page") * 1_000_000 + F.col("table")).cast("int").alias("table"), F.posexplode(F.transform(F.concat(F.array("head"), F.col("body")), lambda x: tag(F.col("page"), x))).alias("line", "text")))
+    w = Window.partitionBy(*keys).orderBy("page", "name")
+    named = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 20)
+    item = F.concat("name", F.lit(" "), F.coalesce(F.col("quantity").cast("string"), F.lit("None")), "unit", F.lit("（P"), F.col("page").cast("string"), F.lit("）"))
+    summed = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", item.alias("t")))).alias("m"))
+    last = summed.select(*keys, F.lit(3).alias("part"), F.lit(0).alias("table"), F.lit(0).alias("line"), F.concat(F.lit("原辅材料："), F.array_join(F.transform("m", lambda x: x["t"]), "；")).alias("text"))
+    lines = told
+    for x in (*parts, last):
+        lines = lines.unionByName(x)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "table", "line"))
+    lines = lines.withColumn("n", n).filter(F.col("n") <= most_lines)
+    kept = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("l"))
+    return kept.select(*keys, F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("digest"))
+
+
+def _joined_all(row: Column, most: int) -> Column:
+    """All cells of a row, empty ones too."""
+    return F.substring(F.array_join(F.transform(row, lambda c: collapse(F.coalesce(c, F.lit("")))), " | "), 1, most)

@@ -220,3 +220,58 @@ def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty ordered rules with guards over all lines of all documents, in one pass."""
     d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
     return X.findings(d.withColumn("page", F.col("page") + 1), ["doc_id"], _RULES, _GUARDS, around=40)
+
+
+#: A material of a customer's order: a name, what its row says, an amount and a unit.
+_MATERIAL = {
+    "name": "concat(CASE WHEN o_orderkey % 7 < 2 THEN '热熔胶' WHEN o_orderkey % 7 = 2 THEN '面漆' WHEN o_orderkey % 7 = 3 THEN '粉末涂料' WHEN o_custkey % 5 = 0 AND o_orderkey % 7 = 4 THEN '甲苯' ELSE '钢材' END, ' ', o_orderpriority)",
+    "quote": "CASE WHEN o_orderstatus = 'F' THEN concat('水性 | ', o_orderpriority) WHEN o_orderstatus = 'O' THEN '年用 | t' WHEN o_totalprice > 200000 THEN '溶剂型' END",
+    "quantity": "CASE WHEN o_totalprice > 15000 THEN floor(o_totalprice / 1000) END",
+    "unit": "CASE WHEN o_totalprice > 250000 THEN 't' WHEN o_totalprice > 100000 THEN '' WHEN o_totalprice > 50000 THEN 'kg' END",
+}
+_TERM_SQL = f"""m AS (SELECT o_custkey, o_orderkey, {", ".join(f"{x} AS {c}" for c, x in _MATERIAL.items())} FROM orders),
+s AS (SELECT *, list_sort(list_distinct(list(CASE WHEN regexp_matches(name || coalesce(quote, ''), '{X.SOLVENTS}') THEN name END) OVER (PARTITION BY o_custkey))) AS solvents FROM m),
+d AS (SELECT *, name || ' ' || coalesce(quote, '') AS blob FROM s),
+t AS (SELECT *, CASE WHEN quantity IS NULL THEN NULL WHEN regexp_matches(name, '{X.GLUE}') THEN CASE WHEN regexp_matches(blob, '{X.LOW_VOC}') THEN '非溶剂型低VOCs含量胶粘剂' WHEN regexp_matches(blob, '溶剂|{X.SOLVENTS}') OR len(solvents) > 0 THEN '溶剂型胶粘剂' END
+  WHEN regexp_matches(name, '{X.PAINT}') THEN CASE WHEN regexp_matches(blob, '{X.LOW_VOC}') THEN '非溶剂型低VOCs含量涂料' WHEN regexp_matches(blob, '溶剂|{X.SOLVENTS}') THEN '溶剂型涂料（含稀释剂）' END END AS term FROM d)"""
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", *[F.expr(x).alias(c) for c, x in _MATERIAL.items()])
+    return X.mapped_terms(m, ["o_custkey"])
+
+
+@register("mapped_terms", f"""WITH {_TERM_SQL}
+SELECT o_custkey, o_orderkey, name, term, CASE WHEN term IS NULL THEN CASE WHEN quantity IS NULL THEN 'no quantity' WHEN regexp_matches(name, '{X.GLUE}') THEN 'glue of unknown kind' WHEN regexp_matches(name, '{X.PAINT}') THEN 'paint of unknown kind' ELSE 'no such term' END END AS why, array_to_string(solvents, '、') AS solvents FROM t""")
+def mapped_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("o_custkey", "o_orderkey", "name", "term", "why", F.array_join("solvents", "、").alias("solvents"))
+
+
+@register("term_totals", f"""WITH {_TERM_SQL}
+SELECT o_custkey, term, CAST(sum(quantity) AS DOUBLE) AS total, coalesce(arg_max(unit, o_orderkey) FILTER (WHERE unit <> ''), '') AS unit, count(*) AS materials FROM t WHERE term IS NOT NULL GROUP BY o_custkey, term""")
+def term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.term_totals(_mapped(spark, sf_dir), ["o_custkey"], ["o_orderkey"]).withColumn("total", F.col("total").cast("double"))
+
+
+def _line(cells: str) -> str:
+    return f"left(array_to_string(list_filter(list_transform({cells}, lambda c: {_clean('c')}), lambda c: c <> ''), '  '), 150)"
+
+
+_HEAD_LINE = f"left(array_to_string(list_transform(rows[1], lambda c: {_clean('c')}), ' | '), 100)"
+
+
+@register("project_digest", f"""WITH {_TABLES},
+n AS (SELECT t.*, f.anchor FROM t JOIN f ON f.report = t.report AND abs(f.page - t.page) <= 2 AND f.anchor IN ('产品方案', '原辅材料')),
+b AS (SELECT report, page, tab, anchor, {_HEAD_LINE} AS head, list_filter(list_transform(rows[2:15], lambda r: {_line('r')}), lambda x: x <> '') AS body FROM n),
+l AS (SELECT report, CASE anchor WHEN '产品方案' THEN 1 ELSE 2 END AS part, page * 1000000 + tab AS tab, unnest(list_concat([head], body)) AS text, unnest(range(0, len(body) + 1)) AS line, page FROM b WHERE len(body) > 0 AND (anchor = '原辅材料' OR regexp_matches(head, '{X.PRODUCT_TABLE}'))),
+g AS (SELECT report, part, tab, line, '【第' || page || '页】' || text AS text FROM l),
+m AS (SELECT s_suppkey AS report, 0 AS part, 0 AS tab, 1 AS line, '【第3页】' || s_name AS text FROM supplier UNION ALL
+  SELECT s_suppkey, 3, 0, 0, '原辅材料：' || s_name || ' ' || CAST(s_nationkey AS DOUBLE) || 't（P1）' FROM supplier),
+al AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY part, tab, line) AS n FROM (SELECT * FROM g UNION ALL SELECT * FROM m))
+SELECT report, string_agg(text, chr(10) ORDER BY n) AS digest FROM al WHERE n <= 120 GROUP BY report""")
+def project_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each supplier's tables, with its name as a fact and one material."""
+    s = table(spark, sf_dir, "supplier")
+    facts = s.select(F.col("s_suppkey").alias("report"), F.lit(1).alias("order"), F.col("s_name").alias("value"), F.lit(3).alias("page"))
+    found = s.select(F.col("s_suppkey").alias("report"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("double").alias("quantity"), F.lit("t").alias("unit"), F.lit(1).alias("page"))
+    return X.project_digest(facts, _tables(spark, sf_dir), _anchors(spark, sf_dir), found, ["report"])
