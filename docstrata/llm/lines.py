@@ -215,41 +215,28 @@ def contexts(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.n
     return np.where(inside, (c ^ c >> 8) & 0xFF, 0).astype(np.uint8)
 
 
-def whole_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two arrays of characters, or most + 1 if it is larger: bit-parallel, a column of bits a step."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    k = min(len(a), len(b))
-    differ = np.flatnonzero(a[:k] != b[:k])
-    head = int(differ[0]) if len(differ) else k
-    differ = np.flatnonzero(a[len(a) - (k - head) :][::-1] != b[len(b) - (k - head) :][::-1])
-    tail = int(differ[0]) if len(differ) else k - head
-    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
-    if not x or not y:
-        return min(max(len(x), len(y)), most + 1)
+def _places_of(x: np.ndarray) -> dict[int, int]:
+    """Where each character stands, as bits."""
     where: dict[int, int] = {}
-    for i, c in enumerate(x):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top, score = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
-    more, less = full, 0
-    for j, c in enumerate(y):
-        same = where.get(c, 0)
-        v = same | less
-        h = ((same & more) + more ^ more) | same
-        up, down = less | full & ~(h | more), more & h
-        score += bool(up & top) - bool(down & top)
-        if score - (len(y) - 1 - j) > most:
-            return most + 1
-        up, down = (up << 1 | 1) & full, down << 1 & full
-        more, less = down | full & ~(v | up), up & v
-    return min(score, most + 1)
+    if len(x) < 512:
+        for i, c in enumerate(x.tolist()):
+            where[c] = where.get(c, 0) | 1 << i
+        return where
+    order = np.argsort(x, kind="stable")
+    begins = np.append(np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1])), len(x))
+    for i, j in zip(begins[:-1], begins[1:]):
+        bits = np.zeros(len(x), np.uint8)
+        bits[order[i:j]] = 1
+        where[int(x[order[i]])] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return where
 
 
 def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two arrays of characters, or most + 1 if it is larger.
 
-    Bit-parallel over the band of diagonals -most..most: bit t of state d says that a's prefix of j + t - most
-    characters turns into b's prefix of j with at most d edits.
+    Bit-parallel over a band: a column has 2 * most + 1 bits, the steps between the rows on either side of the diagonal,
+    and moves down with it. The distance is followed along the band's lower edge, then along the last row, and given up
+    as soon as it can't fall to ``most`` any more. Time grows with the length times the band's words.
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -258,23 +245,40 @@ def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     head = int(differ[0]) if len(differ) else k
     differ = np.flatnonzero(a[len(a) - (k - head) :][::-1] != b[len(b) - (k - head) :][::-1])
     tail = int(differ[0]) if len(differ) else k - head
-    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
-    n, full = len(x), (1 << (2 * most + 1)) - 1
-    states = [((1 << (d + 1)) - 1) << most for d in range(most + 1)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail].tolist()
+    m, n = len(x), len(y)
+    if not m or not n:
+        return min(max(m, n), most + 1)
+    where = _places_of(x)
+    full, edge = (1 << (2 * most + 1)) - 1, 1 << (2 * most)
+    more, less = full >> most << most, 0  # rows 1 to most + 1 of the first column: each one more than the row above
+    score, corner = min(most, m), m - most
+    low = 1 << (m - 1 + most) if m <= most else edge >> 1
+    near: dict[int, int] = {}  # of where, the bits that the band meets in the next steps
+    begin, stride = 0, 2 * most + 64
     for j, c in enumerate(y):
-        same = 0
-        for i in range(max(0, j - most), min(n, j + most + 1)):
-            if x[i] == c:
-                same |= 1 << (i - j + most)
-        new = [states[0] & same]
-        for d in range(1, most + 1):
-            old = states[d - 1]
-            new.append((states[d] & same | old | old >> 1 | new[-1] << 1) & full)
-        states = new
-        if not states[-1]:
-            return most + 1
-    end = 1 << (n - len(y) + most)
-    return next((d for d in range(most + 1) if states[d] & end), most + 1)
+        if j < most:
+            same = where.get(c, 0) << (most - j) & full
+        else:
+            if j == most or j - begin == stride:
+                begin, near = j, {}
+            if c not in near:
+                near[c] = where.get(c, 0) >> (begin - most) & ((1 << (2 * stride)) - 1)
+            same = near[c] >> (j - begin) & full
+        straight = ((((same & more) + more) ^ more) | same | less) & full
+        up, down = less | full & ~(straight | more), straight & more
+        if j < corner:
+            score += not straight & edge
+            if score > 2 * most - (m - n):
+                return most + 1
+        else:
+            score += bool(up & low) - bool(down & low)
+            low >>= 1
+            if score - (n - 1 - j) > most:
+                return most + 1
+        straight >>= 1
+        more, less = down | full & ~(straight | up), straight & up
+    return min(score, most + 1)
 
 
 def _first_segment(short: np.ndarray, long: np.ndarray, edits: int) -> int:
@@ -605,7 +609,7 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterat
             allowed = edits_allowed(np.array([len(a) for a in x]))
             # an edit takes away and adds BIN_GRAM grams at most
             near = np.abs(_bins(x) - _bins(y)).sum(1) <= 2 * BIN_GRAM * allowed
-            hit = np.array([k for k in np.flatnonzero(near).tolist() if whole_edits(x[k], y[k], int(allowed[k])) <= allowed[k]], np.int64)
+            hit = np.array([k for k in np.flatnonzero(near).tolist() if banded_edits(x[k], y[k], int(allowed[k])) <= allowed[k]], np.int64)
             if len(hit):
                 root = np.minimum(u, v)[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[hit], v[hit]])), pa.array(np.ones(2 * len(hit), np.int64)), pa.array(np.concatenate([root, root]))], ["node", "links", "root"])

@@ -148,6 +148,22 @@ def test_banded_edits():
             assert banded_edits(np.array(a), np.array(b), most) == min(_edits(a, b), most + 1)
 
 
+def test_banded_edits_of_very_long_lines():
+    """A band of 12,001 diagonals over 120,000 characters: known edits, and lines of nothing in common given up early."""
+    import time
+
+    from docstrata.llm.lines import banded_edits
+
+    rng = np.random.default_rng(0)
+    x, other = (rng.integers(97, 123, 120000).astype(np.uint32) for _ in range(2))
+    y, at = x.copy(), np.sort(rng.choice(119000, 5000, replace=False))
+    y[at] = 65
+    began = time.time()
+    assert banded_edits(x, np.delete(y, at[:300]), 6000) == 5000
+    assert banded_edits(x, other, 6000) == 6001
+    assert time.time() - began < 5
+
+
 def test_near_dedup(docs, none):
     from docstrata.llm.neardup import near_duplicates
 
@@ -483,7 +499,7 @@ def test_main_text_in_named_wrappers():
 
 def test_line_dedup_of_long_lines(spark):
     """Against brute force: a changed word, or edits all over a line, up to and beyond what its length allows."""
-    from docstrata.llm.lines import dedup_lines, edits_allowed, whole_edits
+    from docstrata.llm.lines import banded_edits, dedup_lines, edits_allowed
 
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9)))
@@ -507,7 +523,7 @@ def test_line_dedup_of_long_lines(spark):
             most = int(edits_allowed(min(len(a), len(lines[j]))))
             d = _edits(a, lines[j]) if abs(len(a) - len(lines[j])) <= most else most + 1
             x, y = (np.array([ord(c) for c in z], np.uint32) for z in (a, lines[j]))
-            assert whole_edits(x, y, most) == min(d, most + 1)
+            assert banded_edits(x, y, most) == min(d, most + 1)
             links[i] += d <= most
             links[j] += d <= most
     got = {r["doc_id"]: r["n_links"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
@@ -519,7 +535,7 @@ def test_line_dedup_of_long_lines(spark):
 
 def test_line_dedup_finds_every_pair_within_its_edits(spark):
     """Long lines with as many edits as they allow, spread, at one place, at the ends, and only insertions or deletions."""
-    from docstrata.llm.lines import dedup_lines, edits_allowed, whole_edits
+    from docstrata.llm.lines import banded_edits, dedup_lines, edits_allowed
 
     rnd = random.Random(11)
     letters = "abcdefghij ß"
@@ -543,7 +559,7 @@ def test_line_dedup_finds_every_pair_within_its_edits(spark):
     for i, a in enumerate(coded):
         for j, b in enumerate(coded[:i]):
             most = edits_allowed(min(len(a), len(b)))
-            if lines[i] != lines[j] and abs(len(a) - len(b)) <= most and whole_edits(a, b, most) <= most:
+            if lines[i] != lines[j] and abs(len(a) - len(b)) <= most and banded_edits(a, b, most) <= most:
                 links[i] += 1
                 links[j] += 1
     got = {r["doc_id"]: r["n_links"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
