@@ -238,6 +238,7 @@ def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     and moves down with it. The distance is followed along the band's lower edge, then along the last row, and given up
     as soon as it can't fall to ``most`` any more. Time grows with the length times the band's words.
     """
+    most = int(most)
     if abs(len(a) - len(b)) > most:
         return most + 1
     k = min(len(a), len(b))
