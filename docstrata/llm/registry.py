@@ -109,4 +109,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from docstrata.llm import oracles
 
-    return {"op1_substring_dedup": oracles.OP1, "op5_quality_rules": oracles.op5(), "op11_manifest": oracles.op11(), "op13_resampling": oracles.OP13}
+    return {"op1_substring_dedup": oracles.OP1, "op5_quality_rules": oracles.op5(), "op7_warc": oracles.OP7, "op9_vectors": oracles.OP9, "op11_manifest": oracles.op11(), "op13_resampling": oracles.OP13}
