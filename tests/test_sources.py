@@ -56,3 +56,17 @@ def test_sinks(spark, tmp_path):
     lines = [r["value"] for r in sinks.review_lines(d, "note", ["id", "s"], ["id"]).collect()]
     assert lines == ["﻿# note", "id,s", '"1","x""y"']
     assert d.select(sinks.event_frame(F.lit("done"), F.lit("{}")).alias("f")).first()["f"] == "event: done\ndata: {}\n\n"
+
+
+def test_markdown_files_in_order_with_unreadable_ones(spark, tmp_path):
+    from docstrata.sources.tables import markdown_files
+
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a.md").write_text("---\ntitle: one\n---\nbody\n", encoding="utf-8")
+    (tmp_path / "b" / "c.md").write_bytes(b"\xff\xfe not text")
+    (tmp_path / "b" / "d.md").write_text("", encoding="utf-8")
+    (tmp_path / "z.md").write_text("no head", encoding="utf-8")
+    (tmp_path / "x.txt").write_text("other", encoding="utf-8")
+    rows = markdown_files(spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.place, r.readable, r.body) for r in rows] == [("a.md", 1, True, "body\n"), ("c.md", 2, False, None), ("z.md", 3, True, "no head")]
+    assert rows[0].meta == {"title": "one"} and markdown_files(spark, str(tmp_path), 2).count() == 2
