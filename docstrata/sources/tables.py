@@ -31,7 +31,7 @@ def markdown_files(spark: SparkSession, path: str, limit: int | None = None) ->
     """Every .md file below ``path``, in order of paths, of the first ``limit``: path, place from 1, readable, meta and body.
 
     A file that isn't UTF-8 is there with readable false and no body, so that what was left out can be counted; Spark
-    lists no files of no bytes. Files are read one by one in tasks; only paths are sorted, by ranges, for their places.
+    lists no files of no bytes. Files are read one by one in tasks; paths alone meet in one, for their places.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
     places = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path).select("path")
