@@ -275,7 +275,7 @@ def leaf_faults(rows: DataFrame, keys: list[str], value: str, text: str, deepest
     """Which parts of a JSON value the text doesn't bear: keys, ok, and faults (path and reason, by path).
 
     Objects and lists are opened level by level as variants, all rows of a level at once, down to single values. A
-    string must stand in the text, a number as it is generally written; both without white space and signs. Booleans
+    string must stand in the text, a number in one of its spellings; both without white space and signs. Booleans
     and empty strings need no evidence, null has none, nor has anything if the text is empty, or deeper than
     ``deepest``. A value that isn't JSON is one fault.
     """
@@ -306,7 +306,7 @@ def leaf_faults(rows: DataFrame, keys: list[str], value: str, text: str, deepest
         .when(F.col("_t") == "", "empty text")
         .when(F.col("_kind") == "BOOLEAN", None)
         .when(F.col("_kind") == "VOID", "null")
-        .when(number, F.when(~F.contains("_t", general_format(said.try_cast("double"))), F.concat(F.lit("number "), said)))
+        .when(number, F.when(~F.exists(number_spellings(said), lambda s: F.contains("_t", s)), F.concat(F.lit("number "), said)))
         .when((plain(said) != "") & ~F.contains("_t", plain(said)), F.concat(F.lit("not said: "), F.substring(said, 1, 40)))
     )
     found = d.select(*keys, F.when(fault.isNotNull(), F.struct(F.col("_path").alias("path"), fault.alias("reason"))).alias("f"))

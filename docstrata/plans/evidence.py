@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import evidence as E
 from docstrata.functions import text as T
 from docstrata.plans.registry import register
-from docstrata.sources.tables import table
+from docstrata.sources.tables import spread, table
 
 S = lambda c: F.col(c).cast("string")
 
@@ -224,6 +224,6 @@ f AS (SELECT p_partkey, list_filter([
 SELECT p_partkey, len(f) = 0 AS ok, array_to_string(f, '; ') AS faults FROM f""")
 def nested_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, lists and objects in objects, held leaf by leaf against a text."""
-    d = table(spark, sf_dir, "part").select("p_partkey", F.expr(_NESTED).alias("value"), F.expr(_SAID).alias("text"))
+    d = spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(_NESTED).alias("value"), F.expr(_SAID).alias("text"))
     out = E.leaf_faults(d, ["p_partkey"], "value", "text")
     return out.select("p_partkey", "ok", F.array_join(F.transform("faults", lambda x: F.concat_ws("|", x["path"], x["reason"])), "; ").alias("faults"))
