@@ -97,18 +97,22 @@ def resolve(asked: DataFrame, table: DataFrame, aliases: DataFrame, least: int =
     in order wins; candidates share their first ``least`` characters somewhere in the name. Gives ask, code, ord, how.
     """
     q = asked.select("ask", "code").distinct()
-    t = table.select("ord", F.col("code").alias("tcode"), "name")
-    by_code = q.join(t, q["code"] == t["tcode"]).select("ask", "code", "ord", F.lit(0).alias("step"))
-    by_name = q.join(t, q["ask"] == t["name"]).select("ask", "code", "ord", F.lit(1).alias("step"))
-    forms = q.select("ask", "code", F.posexplode(F.array("ask", F.upper("ask"), F.lower("ask"))).alias("form", "alias"))
-    by_alias = forms.join(aliases, "alias").join(t, "name").select("ask", "code", "ord", (F.col("form") + 2).alias("step"))
-    grams = t.filter(F.length("name") >= least).select("ord", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (least - 1)), lambda i: F.substring("name", i, F.lit(least))))).alias("gram"))
-    by_part = q.filter(F.length("ask") >= least).withColumn("gram", F.substring("ask", 1, least)).join(grams, "gram").filter(F.contains("name", F.col("ask"))).select("ask", "code", "ord", F.lit(5).alias("step"))
-    found = by_code.unionByName(by_name).unionByName(by_alias).unionByName(by_part)
-    best = found.groupBy("ask", "code").agg(F.min(F.struct("step", "ord")).alias("b"))
-    how = F.element_at(F.array(*map(F.lit, ("code", "name", "alias", "alias", "alias", "part"))), F.col("b.step") + 1)
-    best = best.select(F.col("ask").alias("_a"), F.col("code").alias("_c"), "b")
-    return q.join(best, F.col("ask").eqNullSafe(F.col("_a")) & F.col("code").eqNullSafe(F.col("_c")), "left").select("ask", "code", F.col("b.ord").alias("ord"), how.alias("how"))
+    # of the entries of one code or name the first counts, so each is one row before it meets anything; merged, since
+    # files that pack well look small enough to be sent
+    codes = table.filter("code IS NOT NULL").groupBy("code").agg(F.min("ord").alias("ord"))
+    names = table.filter("name IS NOT NULL").groupBy("name").agg(F.min("ord").alias("ord"))
+    asks = q.select("ask").filter("ask IS NOT NULL").distinct()
+    by_name = asks.join(names.hint("merge"), F.col("ask") == F.col("name")).select("ask", F.lit(1).alias("step"), "ord")
+    forms = asks.select("ask", F.posexplode(F.array("ask", F.upper("ask"), F.lower("ask"))).alias("form", "alias"))
+    by_alias = forms.join(aliases.hint("merge"), "alias").join(names.hint("merge"), "name").select("ask", (F.col("form") + 2).alias("step"), "ord")
+    by_part = asks.filter(F.length("ask") >= least).withColumn("gram", F.substring("ask", 1, least))
+    grams = names.filter(F.length("name") >= least).select("ord", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (least - 1)), lambda i: F.substring("name", i, F.lit(least))))).alias("gram"))
+    by_part = by_part.join(grams.hint("merge"), "gram").filter(F.contains("name", F.col("ask"))).select("ask", F.lit(5).alias("step"), "ord")
+    named = by_name.unionByName(by_alias).unionByName(by_part).groupBy("ask").agg(F.min(F.struct("step", "ord")).alias("b"))
+    coded = codes.select("code", F.struct(F.lit(0).alias("step"), "ord").alias("c"))
+    d = q.join(named.hint("merge"), "ask", "left").join(coded.hint("merge"), "code", "left").withColumn("b", F.coalesce("c", "b"))
+    how = F.when(F.col("b").isNotNull(), F.element_at(F.array(*map(F.lit, ("code", "name", "alias", "alias", "alias", "part"))), F.col("b.step") + 1))
+    return d.select("ask", "code", F.col("b.ord").alias("ord"), how.alias("how"))
 
 
 def catalog_scores(queries: DataFrame, items: DataFrame, least: int = 16, most: int = 5) -> DataFrame:
