@@ -29,3 +29,14 @@ def test_resolve_sends_no_whole_table(spark, tmp_path):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_candidates_count_copies_of_entries_once(spark):
+    from docstrata.operators import catalog as C
+
+    items = spark.range(300).select(F.col("id").alias("item"), F.when(F.col("id") % 3 == 0, "炼铁厂、铸造 312").otherwise("炼铁厂").alias("category"), F.lit("有电镀工艺的").alias("book"))
+    assert sorted(r["items"] for r in C.classes(items, ["book"], 5).collect()) == [[0, 3, 6, 9, 12], [1, 2, 4, 5, 7]]
+    texts = spark.createDataFrame([(1, "炼铁厂"), (2, "炼铁厂 312"), (3, "学校")], "id int, text string")
+    for rare in (0, 1, 200):  # the same by frequent and by rare terms
+        got = {(r["id"], r["place"]): (r["item"], r["why"]) for r in C.candidates(texts, items, ["book"], least=1, rare=rare).collect()}
+        assert got == {(1, k + 1): (k, "name:炼铁厂") for k in range(5)} | {(2, k + 1): (3 * k, "code:312；name:炼铁厂") for k in range(5)}
