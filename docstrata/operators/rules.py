@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def converted(rows: DataFrame, units: DataFrame, value: str, unit: str, to: str,
     """
     a = units.select(F.col("unit").alias("_ua"), F.col("dim").alias("_da"), F.col("factor").alias("_fa"))
     b = units.select(F.col("unit").alias("_ub"), F.col("dim").alias("_db"), F.col("factor").alias("_fb"))
-    d = rows.join(a, rows[unit] == F.col("_ua"), "left").join(b, F.col(to) == F.col("_ub"), "left")
+    # a list of units is sent: merged, all rows of one unit would meet in one task
+    d = rows.join(F.broadcast(a), rows[unit] == F.col("_ua"), "left").join(F.broadcast(b), F.col(to) == F.col("_ub"), "left")
     out = F.when(F.col(unit) == F.col(to), F.col(value)).when(F.col("_da") == F.col("_db"), F.col(value) * F.col("_fa") / F.col("_fb"))
     return d.withColumn(name, out).drop("_ua", "_da", "_fa", "_ub", "_db", "_fb")
 
@@ -52,25 +55,29 @@ def condition_results(facts: DataFrame, conditions: DataFrame, keys: list[str])
     The first fact that can't be converted makes the result unknown even if a later one satisfies it; so does having
     no fact at all.
     """
-    d = facts.join(conditions, "keyword").withColumn("hit", compare(F.col("value"), F.col("cmp"), F.col("threshold")))
-    stop = F.min(F.when(F.col("value").isNull(), F.col("ord")))
-    good = F.min(F.when(F.col("hit"), F.col("ord")))
-    r = d.groupBy(*keys, "cond", "tier").agg(stop.alias("stop"), good.alias("good"))
+    # a rule list is sent; merged by keyword, all facts of one word would meet in one task. A subject's facts move once,
+    # and what follows finds them in place
+    rules = F.broadcast(conditions)
+    d = facts.select(*keys, "keyword", "ord", "value").repartition(*keys)
+    hit = compare(F.col("value"), F.col("cmp"), F.col("threshold"))
+    met = d.join(rules, "keyword").select(*keys, "cond", "tier", F.lit(True).alias("met"), F.when(F.col("value").isNull(), F.col("ord")).alias("stop"), F.when(hit, F.col("ord")).alias("good"))
+    every = d.select(*keys).distinct().crossJoin(F.broadcast(conditions.select("cond", "tier")))
+    r = met.unionByName(every, allowMissingColumns=True).groupBy(*keys, "cond", "tier").agg(F.max("met").alias("met"), F.min("stop").alias("stop"), F.min("good").alias("good"))
     result = F.when(F.col("stop").isNull(), F.col("good").isNotNull()).when(F.col("good") < F.col("stop"), True)
-    subjects = facts.select(*keys).distinct()
-    every = subjects.crossJoin(F.broadcast(conditions.select("cond", "tier")))  # conditions are a rule list
-    return every.join(r.select(*keys, "cond", result.alias("result")), [*keys, "cond"], "left")
+    return r.select(*keys, "cond", "tier", F.when(F.col("met"), result).alias("result"))
 
 
 def tiers(results: DataFrame, keys: list[str]) -> DataFrame:
     """Each tier's result, the OR of its conditions, and the tier decided: the first that is true or unknown.
 
-    results: keys, tier (ordinal), result. decided is null if all tiers are false; state tells true from unknown.
+    results: keys, tier (ordinal), result. decided is null if all tiers are false, and for a subject whose key is null;
+    state tells true from unknown.
     """
     t = results.groupBy(*keys, "tier").agg(kleene_any(F.col("result")).alias("result"))
-    open_ = t.filter(F.coalesce("result", F.lit(True)))
-    first = open_.groupBy(*keys).agg(F.min("tier").alias("decided"), F.min_by(F.coalesce(F.col("result").cast("string"), F.lit("unknown")), "tier").alias("state"))
-    return results.select(*keys).distinct().join(first, keys, "left")
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.coalesce("result", F.lit(True)))
+    state = F.coalesce(F.col("result").cast("string"), F.lit("unknown"))
+    first = t.groupBy(*keys).agg(F.min(F.when(known, F.struct(F.col("tier").alias("decided"), state.alias("state")))).alias("f"))
+    return first.select(*keys, "f.decided", "f.state")
 
 
 def q_sum(items: DataFrame, keys: list[str], quantity: str = "quantity", threshold: str = "threshold") -> DataFrame:

@@ -40,3 +40,23 @@ def test_candidates_count_copies_of_entries_once(spark):
     for rare in (0, 1, 200):  # the same by frequent and by rare terms
         got = {(r["id"], r["place"]): (r["item"], r["why"]) for r in C.candidates(texts, items, ["book"], least=1, rare=rare).collect()}
         assert got == {(1, k + 1): (k, "name:炼铁厂") for k in range(5)} | {(2, k + 1): (3 * k, "code:312；name:炼铁厂") for k in range(5)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conditions_do_not_gather_facts_by_keyword(spark):
+    """Facts of one word lie in many tasks: they meet the rules where they are, and a subject's facts move once."""
+    facts = spark.createDataFrame([(1, "A", 1, 50.0), (1, "A", 2, None), (2, "A", 1, None), (2, "A", 2, 50.0), (3, "B", 1, 1.0), (4, "A", 1, 1.0), (None, "A", 1, 50.0)], "o int, keyword string, ord int, value double")
+    rules = spark.createDataFrame([(1, 1, "A", ">=", 45.0), (2, 2, "B", "<", 5.0)], "cond int, tier int, keyword string, cmp string, threshold double")
+    results = R.condition_results(facts, rules, ["o"])
+    assert {(r["o"], r["cond"]): r["result"] for r in results.collect() if r["o"]} == {(1, 1): True, (1, 2): None, (2, 1): None, (2, 2): None, (3, 1): None, (3, 2): True, (4, 1): False, (4, 2): None}
+    out = R.tiers(results, ["o"])
+    assert {r["o"]: (r["decided"], r["state"]) for r in out.collect()} == {1: (1, "true"), 2: (1, "unknown"), 3: (1, "unknown"), 4: (2, "unknown"), None: (None, None)}
+    assert "SortMergeJoin" not in _plan(out) and "keyword" not in "".join(x for x in _plan(out).splitlines() if "Exchange hash" in x)
+    units = spark.createDataFrame([("t", "mass", 1.0), ("kg", "mass", 0.001)], "unit string, dim string, factor double")
+    rows = spark.createDataFrame([(1.0, "t", "kg"), (2.0, "x", "kg"), (3.0, "x", "x")], "v double, unit string, to string")
+    out = R.converted(rows, units, "v", "unit", "to", "q")
+    assert sorted((r["q"] for r in out.collect()), key=repr) == [1000.0, 3.0, None]
+    assert "SortMergeJoin" not in _plan(out)
