@@ -122,19 +122,29 @@ def resolve(asked: DataFrame, table: DataFrame, aliases: DataFrame, least: int =
     return d.select("ask", "code", F.col("b.ord").alias("ord"), how.alias("how"))
 
 
+#: Words of asked texts up to this number are sent to every task (some 10 MB); beyond, Spark shuffles both sides.
+SENT_WORDS = 200_000
+
+
 def catalog_scores(queries: DataFrame, items: DataFrame, least: int = 16, most: int = 5) -> DataFrame:
     """Best catalog entries of each query by words in common: len² a word, 60 a code; none if the best is below ``least``.
 
     queries: ask, terms (array); items: item, terms (array), codes (array). Words meet in a join, so pairs without one
-    in common are never made.
+    in common are never made. The entries stay where they are dealt: each task keeps the ``most`` best of each query.
     """
-    q = queries.select("ask", F.explode(F.array_distinct("terms")).alias("term"))
-    words = items.select("item", F.explode(F.array_distinct("terms")).alias("term")).withColumn("points", F.length("term") * F.length("term"))
-    codes = items.select("item", F.explode(F.array_distinct("codes")).alias("term")).withColumn("points", F.lit(60))
-    s = q.join(words.unionByName(codes), "term").groupBy("ask", "item").agg(F.sum("points").cast("long").alias("score"))
+    q = queries.select("ask", F.explode(F.array_distinct("terms")).alias("term")).filter("term IS NOT NULL")
+    none = F.array().cast("array<struct<term: string, points: int>>")
+    words = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), (F.length(t) * F.length(t)).alias("points")))
+    codes = F.transform(F.array_distinct("codes"), lambda t: F.struct(t.alias("term"), F.lit(60).alias("points")))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, so that what packs well isn't put into few tasks
+    d = items.repartition(parts, "item").select("item", F.explode(F.concat(F.coalesce(words, none), F.coalesce(codes, none))).alias("w")).select("item", "w.term", "w.points")
+    # files that pack well look small enough to be sent, so which side is sent is said here
+    met = d.join(F.broadcast(q), "term") if q.count() <= SENT_WORDS else d.join(q.hint("merge"), "term")
+    s = met.groupBy("ask", "item").agg(F.sum("points").cast("long").alias("score"))
     w = Window.partitionBy("ask")
-    s = s.withColumn("place", F.row_number().over(w.orderBy(F.col("score").desc(), "item")).cast("long")).withColumn("_b", F.max("score").over(w))
-    return s.filter((F.col("_b") >= least) & (F.col("place") <= most)).drop("_b")
+    s = s.withColumn("place", F.row_number().over(w.orderBy(F.col("score").desc(), "item"))).filter(F.col("place") <= most)
+    best = s.withColumn("place", F.col("place").cast("long")).withColumn("_b", F.max("score").over(w))
+    return best.filter(F.col("_b") >= least).drop("_b")
 
 
 def suggested(features: DataFrame, standards: DataFrame, generic: tuple[str, ...], most: int) -> DataFrame:

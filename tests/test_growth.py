@@ -60,3 +60,18 @@ def test_conditions_do_not_gather_facts_by_keyword(spark):
     out = R.converted(rows, units, "v", "unit", "to", "q")
     assert sorted((r["q"] for r in out.collect()), key=repr) == [1000.0, 3.0, None]
     assert "SortMergeJoin" not in _plan(out)
+
+
+def test_scores_send_no_catalogue_and_keep_the_best_in_each_task(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("item"), F.array(F.lit("steel"), F.concat(F.lit("n"), (F.col("id") % 7).cast("string")), F.lit(None)).alias("terms"), F.when(F.col("id") % 2 == 0, F.array(F.lit("11"))).alias("codes"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    items = spark.read.parquet(str(tmp_path / "t"))
+    asked = spark.createDataFrame([(1, ["steel", "11", None]), (2, ["n3"]), (3, ["no"]), (4, ["steel", "steel", "n3"])], "ask int, terms array<string>")
+    for sent in (R.SENT_WORDS, 0):
+        monkeypatch.setattr(R, "SENT_WORDS", sent)
+        out = R.catalog_scores(asked, items)
+        plan = _plan(out)
+        assert "WindowGroupLimit" in plan
+        assert ("SortMergeJoin" in plan) == (sent == 0)
+        got = sorted(tuple(r) for r in out.select("ask", "item", "score", "place").collect())
+        assert got == [(1, 2 * k, 85, k + 1) for k in range(5)] + [(4, 3 + 7 * k, 29, k + 1) for k in range(5)]
