@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import conditions as C
 from docstrata.plans.registry import register
-from docstrata.sources.tables import table
+from docstrata.sources.tables import spread, table
 
 
 @register("condition_parse", """
@@ -19,7 +19,7 @@ def condition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions of rule texts that parts' types and sizes are written into: several a clause, with and without a rest."""
     word = F.when(F.col("p_size") % 3 == 0, "及以下").when(F.col("p_size") % 3 == 1, "及以上").otherwise("")
     text = F.concat(F.lit("年产"), "p_type", F.lit(" "), F.col("p_size").cast("string"), F.lit("吨（约）"), word, F.lit("或仓库10平方米以下；其他；二;"), F.lower("p_type"), (F.col("p_size") + 0.5).cast("string"), F.lit("万立方米大于，有电镀工艺的"))
-    d = table(spark, sf_dir, "part").select("p_partkey", F.explode(C.conditions_of(text)).alias("c"))
+    d = spread(table(spark, sf_dir, "part")).select("p_partkey", F.explode(C.conditions_of(text)).alias("c"))
     return d.select("p_partkey", "c.kind", "c.keyword", "c.value", "c.unit", "c.cmp")
 
 
