@@ -81,7 +81,7 @@ def table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = lambda a, b: F.concat(F.array(F.array(F.lit("气体"), F.lit("CO 随烟气 排放"))), F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.array(i.cast("string"), F.lit("7.5"))))
     tables = F.array(some(10, 19), some(10, 60))
     fits = F.filter(F.transform(tables, lambda t, i: F.when(E.holds_cells(t, F.col("row")), i)), lambda i: i.isNotNull())
-    d = table(spark, sf_dir, "part").withColumn("row", cells)
+    d = spread(table(spark, sf_dir, "part")).withColumn("row", cells)
     return d.select("p_partkey", F.array_join("row", "|").alias("cells"), F.get(fits, F.lit(0)).alias("found"))
 
 
