@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-QUERY_BLOCK, CORPUS_BLOCK = 256, 8192
+#: Rows of a block, and queries of a block whose similarities are held at once (32 MB).
+QUERY_BLOCK, CORPUS_BLOCK, ROWS_AT_ONCE = 1024, 32768, 128
 #: Size of the candidate pool.
 BUDGET_FACTOR, BUDGET_MIN, BUDGET_MAX = 3, 48, 80
 
@@ -40,35 +42,53 @@ def _first(sims: np.ndarray, among: np.ndarray, ids: np.ndarray, most: int) -> t
     return rows[place < most], columns[place < most]
 
 
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length in double precision, divided by their norms; null components are NaN."""
+    v = vectors.combine_chunks()
+    if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
+        raise ValueError("vectors differ in length")
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-8)[:, None]
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, most: int, group: str | None = None, digits: int = 6) -> DataFrame:
     """For each query, the ``most`` nearest rows of the corpus overall, and of each group if one is named.
 
     queries: qid, qvec; corpus: id, vec and the group column. Gives qid, id, group, sim (rounded), place (rank in the
-    group, or overall). Blocks of queries meet blocks of the corpus; a pair of blocks is one matrix product and leaves
+    group, or overall). Blocks of queries meet blocks of the corpus; a pair of blocks is one group of rows and leaves
     at most ``most`` rows for each query and group, so what is shuffled grows with queries times blocks, not with all
-    pairs. Ties go to the smaller id. Rows without a vector or an id take no part.
+    pairs, and a task holds no more than one pair of blocks. Ties go to the smaller id. Rows without a vector or an id take no part.
     """
     queries, corpus = queries.dropna(subset=["qid", "qvec"]), corpus.dropna(subset=["id", "vec", *([group] if group else [])])
-    q = queries.withColumn("_q", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)).groupBy("_q").agg(F.collect_list("qid").alias("qids"), F.collect_list("qvec").alias("qvecs"))
     kept = [group] if group else []
     kind = dict(corpus.dtypes)
+    # every pair of a query block and a corpus block is one group of rows: a task holds one pair at a time
+    n_q, n_b = -(-queries.count() // QUERY_BLOCK), -(-corpus.count() // CORPUS_BLOCK)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    q = queries.select("qid", "qvec", own("qid", n_q).alias("_q")).withColumn("_b", every(n_b))
+    c = corpus.select("id", "vec", *kept, own("id", n_b).alias("_b")).withColumn("_q", every(n_q))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return out.slice(0, 0)
+        x, y, ids = _unit(left["qvec"]), _unit(right["vec"]), right["id"].to_numpy()
+        groups = right[group].to_numpy() if group else np.zeros(len(ids), int)
+        members = [np.flatnonzero(groups == g) for g in np.unique(groups)]
+        found = []
+        for k in range(0, len(x), ROWS_AT_ONCE):
+            sims = np.round(x[k : k + ROWS_AT_ONCE] @ y.T, digits)
+            for among in members:
+                rows, columns = _first(sims, among, ids, most)
+                picked = right.select(["id", *kept]).take(pa.array(columns))
+                found.append(picked.add_column(0, "qid", left["qid"].take(pa.array(rows + k))).append_column("sim", pa.array(sims[rows, columns])))
+        return pa.concat_tables(found)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, r in b.iterrows():
-                x, y = (np.array([np.asarray(v, float) for v in r[c]]) for c in ("qvecs", "vecs"))
-                x, y = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-8)[:, None] for v in (x, y))
-                sims, ids, qids = np.round(x @ y.T, digits), np.asarray(r["ids"]), np.asarray(r["qids"])
-                groups = np.asarray(r["groups"]) if group else np.zeros(len(ids), int)
-                for g in np.unique(groups):
-                    rows, columns = _first(sims, np.flatnonzero(groups == g), ids, most)
-                    yield pd.DataFrame({"qid": qids[rows], "id": ids[columns], **({group: g} if group else {}), "sim": sims[rows, columns]})
-
-    blocks = corpus.withColumn("_b", F.floor(F.monotonically_increasing_id() / CORPUS_BLOCK)).groupBy("_b").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"), *[F.collect_list(c).alias("groups") for c in kept])
     schema = f"qid {dict(queries.dtypes)['qid']}, id {kind['id']}, " + "".join(f"{c} {kind[c]}, " for c in kept) + "sim double"
-    pairs = q.crossJoin(blocks).mapInPandas(run, schema)
+    out = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    pairs = q.groupBy("_q", "_b").cogroup(c.groupBy("_q", "_b")).applyInArrow(run, schema)
     order = Window.partitionBy("qid", *kept).orderBy(F.col("sim").desc(), "id")
-    return pairs.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)
+    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).withColumn("place", F.col("place").cast("long"))
 
 
 def quota_recall(queries: DataFrame, corpus: DataFrame, group: str, quota: Column, most_quota: int, pool: int) -> DataFrame:
