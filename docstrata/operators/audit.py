@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import groupby, product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,6 +174,21 @@ def decided(facts: DataFrame, inputs: list[str], table: list[tuple], outputs: li
     return d.withColumn("_best", best).select(*facts.columns, *[F.col("_best")[o].alias(o) for o in outputs])
 
 
+def places(kind: str, table: list[tuple]) -> tuple[list[list[str]], list[tuple]]:
+    """The rows of one kind of a decision table by place: the values named in each cell, and what each combination gives.
+
+    A cell's values count from 1 in their order, any other value is 0; combinations are numbered with the last cell as
+    the lowest. Rows win as in ``decided``; a combination that no row fits gives nulls.
+    """
+    rows = [(k, r) for k, r in enumerate(table) if r[0] == kind]
+    named = [sorted({r[i] for _, r in rows} - {ANY}) for i in range(1, 7)]
+    given = []
+    for cells in product(*[[None, *v] for v in named]):
+        fits = [((-r[-1], -sum(c != ANY for c in r[1:7]), k), r[7:9]) for k, r in rows if all(c in (ANY, x) for c, x in zip(r[1:7], cells))]
+        given.append(min(fits)[1] if fits else (None, None))
+    return named, given
+
+
 def element_verdicts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """What the rules want of each element: keys, element, status (decided or unknown), wanted and reason.
 
@@ -196,30 +214,35 @@ def element_verdicts(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.select(*keys, F.explode(made).alias("v")).select(*keys, "v.*")
 
 
-def element_facts(verdicts: DataFrame, stated: DataFrame, evidence: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
+def element_facts(verdicts: DataFrame, stated: DataFrame, evidence: DataFrame, reports: DataFrame, keys: list[str], elements: tuple[str, ...] = ELEMENTS) -> DataFrame:
     """``elements`` for ``audit_items``: one row a report, a map from element to how, wanted, stated, evidence and water.
 
     verdicts: keys, element, status, wanted; stated: keys, element, set; evidence: keys, element; reports: keys, project,
     industry, intake (whether any page speaks of taking water) and water (null, weak or standard: what hints that the air
     pollutants stand on pages of waste water). An undecided sea isn't wanted by the nature of a project that isn't
-    marine, an undecided ecology by the absence of any intake.
+    marine, an undecided ecology by the absence of any intake. ``elements`` are those asked for.
     """
-    none = F.lit(None).cast("boolean")
-    told = verdicts.select(*keys, "element", (F.col("status") == "decided").alias("known"), "wanted", none.alias("stated"), none.alias("evidence"))
-    told = told.unionByName(stated.select(*keys, "element", none.alias("known"), none.alias("wanted"), F.col("set").alias("stated"), none.alias("evidence")))
-    told = told.unionByName(evidence.select(*keys, "element", none.alias("known"), none.alias("wanted"), none.alias("stated"), F.lit(True).alias("evidence")))
-    # all that is told of a report moves once; both groupings and the join find it in place
-    d = told.repartition(*[F.col(k) for k in keys]).groupBy(*keys, "element").agg(*[F.max(c).alias(c) for c in ("known", "wanted", "stated", "evidence")])
-    d = d.filter("known IS NOT NULL").withColumn("status", F.when(F.col("known"), "decided").otherwise("unknown")).join(reports, keys)
+    bits = lambda x, k: F.when(x, 3 << 2 * k).when(~x, 1 << 2 * k).otherwise(0)  # noqa: E731  told, and true
+    told = verdicts.select(*keys, "element", (bits(F.col("status") == "decided", 0) + bits(F.col("wanted"), 1)).alias("told"))
+    told = told.unionByName(stated.select(*keys, "element", bits(F.col("set"), 2).alias("told")))
+    told = told.unionByName(evidence.select(*keys, "element", F.lit(3 << 6).alias("told")))
+    # all that is told of a report moves once, and adds up as one number an element: no lists are gathered or sorted
+    d = told.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(*[F.bit_or(F.when(F.col("element") == x, F.col("told"))).alias(f"_told{k}") for k, x in enumerate(elements)])
+    d = d.filter(reduce(lambda a, b: a | b, [F.col(f"_told{k}").bitwiseAND(1) != 0 for k in range(len(elements))])).join(reports, keys)
     about = F.concat_ws(" ", "project", "industry")
-    nature = (F.col("element") == "海洋") & (F.col("status") == "unknown") & ~about.rlike(MARINE)
-    absence = (F.col("element") == "生态") & (F.col("status") == "unknown") & ~F.coalesce("intake", F.lit(False))
-    named = nature & (F.coalesce("project", F.lit("")) != "")
-    cell = F.struct(
-        F.when(nature, "nature").when(absence, "absence").otherwise(F.col("status")).alias("how"), F.when(nature | absence, False).otherwise(F.col("wanted")).alias("wanted"), "stated",
-        (F.coalesce("evidence", F.lit(False)) | named).alias("evidence"), F.when(F.col("element") == "大气", F.col("water")).alias("water"),
-    )
-    return d.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("element", cell))).alias("elements"))
+
+    def cell(x: Column) -> Column:
+        known, wanted, stated, evidence = (F.when(x["told"].bitwiseAND(1 << 2 * k) != 0, x["told"].bitwiseAND(2 << 2 * k) != 0) for k in range(4))
+        nature = (x["element"] == "海洋") & ~known & ~about.rlike(MARINE)
+        absence = (x["element"] == "生态") & ~known & ~F.coalesce("intake", F.lit(False))
+        named = nature & (F.coalesce("project", F.lit("")) != "")
+        return F.struct(
+            F.when(nature, "nature").when(absence, "absence").when(known, "decided").otherwise("unknown").alias("how"), F.when(nature | absence, False).otherwise(wanted).alias("wanted"), stated.alias("stated"),
+            (F.coalesce(evidence, F.lit(False)) | named).alias("evidence"), F.when(x["element"] == "大气", F.col("water")).alias("water"),
+        )
+
+    each = F.filter(F.array(*[F.struct(F.lit(x).alias("element"), F.col(f"_told{k}").alias("told")) for k, x in enumerate(elements)]), lambda x: x["told"].bitwiseAND(1) != 0)
+    return d.select(*keys, F.map_from_entries(F.transform(each, lambda x: F.struct(x["element"], cell(x)))).alias("elements"))
 
 
 def audit_items(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -229,7 +252,7 @@ def audit_items(facts: DataFrame, keys: list[str]) -> DataFrame:
     element to a struct of how, wanted, stated, evidence and water; stated_any, exceeds; risk_rows, risk_unknown;
     limit_rows, limit_wrong, limit_all_unknown, limit_right; q_rows, q_stated, q_below, q_differs; potential,
     potential_fits; targets, targets_full; lacks; wrong, stale, official; conclusion, verdict. All items come from one
-    pass over the facts.
+    pass over the facts, each looked up by the place that its cells give in the table.
     """
     c = F.col
     rank = F.create_map(*[F.lit(x) for kv in KIND_RANK.items() for x in kv])
@@ -247,16 +270,31 @@ def audit_items(facts: DataFrame, keys: list[str]) -> DataFrame:
         "citations": [c("wrong") > 0, c("stale") > 0, c("official")],
         "conclusion": [c("conclusion").isNotNull(), c("verdict").isNotNull()],
     }
-    made = []
-    for k, (item, kind) in enumerate(ITEMS):
-        own = cells.get(kind)
-        if own is None:
-            e = c("elements")[item.removesuffix("专项评价设置")]
-            own = [is_form, e["how"], e["wanted"], e["stated"], e["evidence"], e["water"]]
-        text = [F.coalesce(x.cast("string"), F.lit("null")) for x in own] + [F.lit("null")] * (6 - len(own))
-        made.append(F.struct(F.lit(k + 1).alias("no"), F.lit(item).alias("item"), F.lit(kind).alias("rule"), *[x.alias(f"c{i}") for i, x in enumerate(text)]))
-    d = facts.select(*keys, F.explode(F.array(*made)).alias("i")).select(*keys, "i.*")
-    return decided(d, ["rule", *[f"c{i}" for i in range(6)]], AUDIT_TABLE, ["state", "confidence"]).select(*keys, "no", "item", "state", "confidence")
+    given, begins = [], {}
+    for kind in dict(ITEMS).values():
+        if kind not in begins:
+            begins[kind] = len(given)
+            given += places(kind, AUDIT_TABLE)[1]
+
+    def place(kind: str, own: list[Column]) -> Column:
+        at = F.lit(0)
+        for x, values in zip([*own, *[F.lit(None)] * (6 - len(own))], places(kind, AUDIT_TABLE)[0]):
+            if values:
+                at = at * (len(values) + 1) + F.array_position(F.array(*map(F.lit, values)), F.coalesce(x.cast("string"), F.lit("null"))).cast("int")
+        return at + begins[kind]
+
+    # an item is one number until it is a row of its own; elements are read in a loop, so no generated method holds all
+    parts = []
+    for kind, run in groupby(ITEMS, key=lambda x: x[1]):
+        if kind in cells:
+            parts.append(F.array(*[place(kind, cells[kind]) for _ in run]))
+        else:
+            found = F.transform(F.array(*[F.lit(item.removesuffix("专项评价设置")) for item, _ in run]), lambda x: c("elements")[x])
+            parts.append(F.transform(found, lambda e: place("element", [is_form, e["how"], e["wanted"], e["stated"], e["evidence"], e["water"]])))
+    # an outer generator, as an inner one has all places worked out twice, for a filter on their number
+    d = facts.select(*keys, F.concat(*parts).alias("places")).select(*keys, F.posexplode_outer("places").alias("no", "place"))
+    named, states, confidences = (F.array(*map(F.lit, x)) for x in ([x for x, _ in ITEMS], [x for x, _ in given], [x for _, x in given]))
+    return d.select(*keys, (F.col("no") + 1).alias("no"), F.get(named, F.col("no")).alias("item"), F.get(states, F.col("place")).alias("state"), F.get(confidences, F.col("place")).alias("confidence"))
 
 
 def statistics(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -75,3 +75,25 @@ def test_scores_send_no_catalogue_and_keep_the_best_in_each_task(spark, tmp_path
         assert ("SortMergeJoin" in plan) == (sent == 0)
         got = sorted(tuple(r) for r in out.select("ask", "item", "score", "place").collect())
         assert got == [(1, 2 * k, 85, k + 1) for k in range(5)] + [(4, 3 + 7 * k, 29, k + 1) for k in range(5)]
+
+
+def test_audit_items_are_looked_up_without_joins(spark):
+    """A decision table by place gives what it gives by joins, for all combinations of its cells' values."""
+    from itertools import product
+
+    from docstrata.operators import audit as A
+    from docstrata.plans import registry
+
+    plan = _plan(registry.queries()["audit_items"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Join") <= 4 and "collect_list" not in plan
+    rows, expected = [], []
+    for kind in sorted({k for _, k in A.ITEMS}):
+        named, given = A.places(kind, A.AUDIT_TABLE)
+        combined = list(product(*[["?", *v] for v in named]))
+        assert len(combined) == len(given)
+        rows += [(kind, *c) for c in combined]
+        expected += [(kind, *c, *g) for c, g in zip(combined, given)]
+    inputs = ["rule", *[f"c{i}" for i in range(6)]]
+    facts = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in inputs))
+    found = A.decided(facts, inputs, A.AUDIT_TABLE, ["state", "confidence"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
