@@ -312,15 +312,15 @@ def rule_hits(pages: DataFrame, keys: list[str], rules: list[tuple[str, str, obj
     """
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def one(k: int, key: str, pattern: str) -> Column:
-        hit = F.regexp_substr(text, F.lit(pattern))
-        at = F.regexp_instr(text, F.lit(pattern))
-        begin = F.greatest(at - around, F.lit(1))
-        cut = collapse(F.substring(text, begin, at - begin + F.length(hit) + around))
-        return F.when(hit.isNotNull(), F.struct(F.lit(k).alias("rule"), F.lit(key).alias("key"), cut.alias("quote")))
-
-    found = F.filter(F.array(*[one(k, key, p) for k, (key, p, _) in enumerate(rules)]), lambda x: x.isNotNull())
-    hits = pages.select(*keys, "page", F.explode(found).alias("f"))
+    # where each rule hits is worked out once a page; only pages with a hit are searched again for what to cut out
+    places = F.array(*[F.regexp_instr(text, F.lit(p)) for _, p, _ in rules])
+    at = pages.select(*keys, "page", text.alias("text"), F.posexplode(places).alias("rule", "at")).filter(F.col("at") > 0)
+    hit = F.coalesce(*[F.when(F.col("rule") == k, F.regexp_substr("text", F.lit(p))) for k, (_, p, _) in enumerate(rules)])
+    at = at.select(*keys, "page", "text", "rule", "at", F.explode(F.array(F.length(hit))).alias("long")).filter("long IS NOT NULL")
+    begin = F.greatest(F.col("at") - around, F.lit(1))
+    cut = collapse(F.substring("text", begin, F.col("at") - begin + F.col("long") + around))
+    named = F.get(F.array(*[F.lit(key) for key, _, _ in rules]), F.col("rule"))
+    hits = at.select(*keys, "page", F.struct("rule", named.alias("key"), cut.alias("quote")).alias("f"))
     first = hits.groupBy(*keys, F.col("f.rule").alias("rule"), F.col("f.key").alias("key")).agg(F.min(F.struct("page", "f.quote")).alias("h"))
     return first.select(*keys, "rule", "key", "h.page", "h.quote")
 

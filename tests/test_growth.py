@@ -97,3 +97,14 @@ def test_audit_items_are_looked_up_without_joins(spark):
     facts = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in inputs))
     found = A.decided(facts, inputs, A.AUDIT_TABLE, ["state", "confidence"])
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_rules_are_searched_once_a_page(spark):
+    from docstrata.operators import extraction as X
+
+    pages = spark.createDataFrame([("a", 1, "no"), ("a", 2, "say b7 and b8"), ("a", 3, "b9"), ("b", 1, None), ("b", 2, "cc  b1")], "report string, page int, text string")
+    rules = [("k", "b[0-9]", True), ("k", "zz*", False), ("e", "q*", "empty"), ("l", "(?<=a)y|c+", "behind")]
+    found = X.rule_hits(pages, ["report"], rules, around=3)
+    assert sorted(map(tuple, found.collect())) == [("a", 0, "k", 2, "ay b7 an"), ("a", 3, "l", 2, "say b7"), ("b", 0, "k", 2, "c b1"), ("b", 3, "l", 2, "cc b")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_instr") + plan.count("regexpinstr") == len(rules), plan
