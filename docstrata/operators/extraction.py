@@ -6,6 +6,7 @@ arrays of cells of any lengths. Facts carry the page and the text they were read
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,14 +72,25 @@ def quantity(cell: Column) -> Column:
     What stands behind the number is the unit, with what stands before it unless that ends in a letter or an ideograph.
     Null without a number.
     """
-    plain = F.regexp_replace(cell, "[,，]", "")
-    part = lambda k: F.regexp_extract(plain, r"(?s)^([^0-9]*)([0-9]+(?:\.[0-9]+)?)(.*)$", k)
-    before, after = collapse(part(1)), collapse(part(3))
-    both = (before != "") & ~before.rlike("[\\u4e00-\\u9fffA-Za-z]$")
-    many = F.contains(part(1), F.lit("万")) | F.contains(after, F.lit("万"))
-    unit = F.when(both, F.concat_ws(" ", before, after)).otherwise(after)
-    unit = collapse(F.when(many, F.replace(unit, F.lit("万"), F.lit(""))).otherwise(unit))
-    return F.when(part(2) != "", F.struct((part(2).cast("double") * F.when(many, 10000.0).otherwise(1.0)).alias("value"), unit.alias("unit")))
+    def parts(x: Column) -> Column:
+        at = F.position(x["number"], x["plain"])
+        return F.struct(x["number"].alias("number"), F.substring(x["plain"], F.lit(1), at - 1).alias("before"), F.substring(x["plain"], at + F.length(x["number"]), F.length(x["plain"])).alias("after"))
+
+    def told(x: Column) -> Column:
+        many = F.contains(x["before"], F.lit("万")) | F.contains(x["after"], F.lit("万"))
+        both = (x["left"] != "") & ~x["left"].rlike("[\\u4e00-\\u9fffA-Za-z]$")
+        unit = F.when(both, F.concat_ws(" ", x["left"], x["right"])).otherwise(x["right"])
+        unit = F.when(many, collapse(F.replace(unit, F.lit("万"), F.lit("")))).otherwise(F.trim(unit))
+        return F.when(x["number"] != "", F.struct((x["number"].cast("double") * F.when(many, 10000.0).otherwise(1.0)).alias("value"), unit.alias("unit")))
+
+    found = _once(F.translate(cell, ",，", ""), lambda p: F.struct(p.alias("plain"), F.regexp_extract(p, r"[0-9]+(?:\.[0-9]+)?", 0).alias("number")))
+    cut = _once(_once(found, parts), lambda x: F.struct(x["number"], x["before"], x["after"], collapse(x["before"]).alias("left"), collapse(x["after"]).alias("right")))
+    return _once(cut, told)
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is worked out once however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def _cell(row: Column, at: Column) -> Column:
@@ -139,10 +151,16 @@ def near_anchor(tables: DataFrame, anchors: DataFrame, keys: list[str], radius:
 
 def _rows(chosen: DataFrame, keys: list[str], least: list[str]) -> DataFrame:
     """The data rows of tables, those long enough for the roles ``least``, in order."""
-    d = chosen.select("*", F.posexplode("rows").alias("_row", "_cells")).filter(F.col("_row") >= F.col("body"))
+    d = chosen.withColumn("header", _joined(F.get("rows", F.lit(0)), 120))
+    d = d.select("*", F.posexplode("rows").alias("_row", "_cells")).filter(F.col("_row") >= F.col("body"))
     for r in least:
         d = d.filter(F.size("_cells") > F.col(r))
-    return d.withColumn("quote", _joined(F.col("_cells"), 200)).withColumn("header", _joined(F.get("rows", F.lit(0)), 120))
+    return d.withColumn("quote", _joined(F.col("_cells"), 200))
+
+
+def _read(rows: DataFrame, **cells: Column) -> DataFrame:
+    """Data rows with what is read from their cells, by a generator: filters on it don't have the cells read again."""
+    return rows.select("*", F.explode(F.array(F.struct(*[c.alias(f"_{k}") for k, c in cells.items()]))).alias("_read")).select("*", "_read.*").drop("_read")
 
 
 def _first_tables(found: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
@@ -171,9 +189,9 @@ def materials(tables: DataFrame, anchors: DataFrame, keys: list[str], most_table
     alike = F.when(F.col("name") <= 1, 1).otherwise(0) + F.when(F.col("_name_head").rlike(MATERIAL_NAMES), 3).otherwise(0) + F.when(F.array_join("head", " ").rlike(CONSUMPTION), 2).otherwise(0)
     d = near_anchor(d.withColumn("_alike", alike), anchors, keys, {"原辅材料": 2, "产品方案": 1})
     d = _rows(_first_tables(_prefer_near(d, keys), keys, [F.col("_alike").desc()], most_tables), keys, ["name", "qty"])
-    amount = quantity(F.get("_cells", F.col("qty")))
-    unit = F.coalesce(F.nullif(F.when(F.col("unit_at").isNotNull(), _cell(F.col("_cells"), F.col("unit_at"))), F.lit("")), F.nullif(amount["unit"], F.lit("")), F.col("_unit_head"))
-    d = d.select(*keys, "_rank", "_row", _cell(F.col("_cells"), F.col("name")).alias("name"), amount["value"].alias("quantity"), unit.alias("unit"), "page", "quote", "header")
+    d = _read(d, named=_cell(F.col("_cells"), F.col("name")), amount=quantity(F.get("_cells", F.col("qty"))), unit=F.when(F.col("unit_at").isNotNull(), _cell(F.col("_cells"), F.col("unit_at"))))
+    unit = F.coalesce(F.nullif("_unit", F.lit("")), F.nullif("_amount.unit", F.lit("")), F.col("_unit_head"))
+    d = d.select(*keys, "_rank", "_row", F.col("_named").alias("name"), F.col("_amount.value").alias("quantity"), unit.alias("unit"), "page", "quote", "header")
     d = d.filter((F.length("name") >= 2) & ~F.contains("name", F.lit("序号")) & ~F.contains("name", F.lit("名称")) & ~F.col("name").rlike(ONLY_FIGURES))
     once = F.row_number().over(Window.partitionBy(*keys, "name").orderBy("_rank", "_row"))
     return d.withColumn("_once", once).filter("_once = 1").drop("_once", "_rank", "_row")
@@ -185,7 +203,8 @@ def risk_materials(tables: DataFrame, keys: list[str], most_tables: int = 4, **h
     d = _first_tables(d, keys, [], most_tables).filter(F.col("name").isNotNull() & F.col("qty").isNotNull() & F.col("limit").isNotNull())
     d = _rows(d, keys, ["name", "qty", "limit"])
     at = lambda c: quantity(F.get("_cells", F.col(c)))["value"]
-    d = d.select(*keys, "table", F.col("_row").alias("row"), _cell(F.col("_cells"), F.col("name")).alias("name"), at("qty").alias("quantity"), at("limit").alias("threshold"), "page", "quote", "header")
+    d = _read(d, named=_cell(F.col("_cells"), F.col("name")), quantity=at("qty"), threshold=at("limit"))
+    d = d.select(*keys, "table", F.col("_row").alias("row"), F.col("_named").alias("name"), F.col("_quantity").alias("quantity"), F.col("_threshold").alias("threshold"), "page", "quote", "header")
     return d.filter((F.length("name") >= 2) & ~F.contains("name", F.lit("序号")))
 
 
@@ -197,7 +216,8 @@ def targets(tables: DataFrame, anchors: DataFrame, keys: list[str], most_tables:
     d = with_roles(tables, keys, {"any_name": NAMES, "name": TARGET_NAMES, "dist": DISTANCES}, ["any_name", "dist"], **header)
     d = _first_tables(_prefer_near(near_anchor(d, anchors, keys, {"环境敏感目标": 2}), keys), keys, [], most_tables)
     d = _rows(d, keys, ["name", "dist"])
-    d = d.select(*keys, "_rank", "_row", _cell(F.col("_cells"), F.col("name")).alias("name"), quantity(F.get("_cells", F.col("dist")))["value"].alias("distance"), _cell(F.col("_cells"), F.col("dist")).alias("stated"), "page", "quote")
+    d = _read(d, named=_cell(F.col("_cells"), F.col("name")), distance=quantity(F.get("_cells", F.col("dist")))["value"], stated=_cell(F.col("_cells"), F.col("dist")))
+    d = d.select(*keys, "_rank", "_row", F.col("_named").alias("name"), F.col("_distance").alias("distance"), F.col("_stated").alias("stated"), "page", "quote")
     d = d.filter((F.col("name") != "") & ~F.contains("name", F.lit("序号")) & ~F.contains("name", F.lit("名称")))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "_row"))
     return d.withColumn("place", place).filter(F.col("place") <= most_rows).drop("_rank", "_row")

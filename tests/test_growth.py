@@ -108,3 +108,13 @@ def test_rules_are_searched_once_a_page(spark):
     assert sorted(map(tuple, found.collect())) == [("a", 0, "k", 2, "ay b7 an"), ("a", 3, "l", 2, "say b7"), ("b", 0, "k", 2, "c b1"), ("b", 3, "l", 2, "cc b")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_instr") + plan.count("regexpinstr") == len(rules), plan
+
+
+def test_cells_are_read_once(spark):
+    """Filters on what is read from a cell don't read the cell again."""
+    from docstrata.plans import registry
+
+    for name, most in (("table_materials", 1), ("table_risks", 2), ("table_targets", 1)):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[0-9]+(?:\\.[0-9]+)?") == most, name
+        assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x], name
