@@ -37,7 +37,8 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size", "p_type"), "l_partkey")
     d = lines.select(F.col("l_suppkey").alias("report"), F.col("l_linenumber").alias("table"), "l_orderkey", "l_partkey", "l_extendedprice", *[F.expr(x).alias(c) for c, x in _CELLS.items()])
     form = (F.col("report") + F.col("table")) % len(_FORMS)
-    cells = F.get(F.array(*[F.array(*kinds.split()) for _, kinds in _FORMS]), form.cast("int"))
+    # a line has the cells of its table's form made, not those of all forms
+    cells = F.coalesce(*[F.when(form == k, F.array(*kinds.split())) for k, (_, kinds) in enumerate(_FORMS)])
     heads = F.array(*[F.array(*[F.array(*map(F.lit, row)) for row in head]).cast("array<array<string>>") for head, _ in _FORMS])
     d = d.groupBy("report", "table").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_extendedprice", cells.alias("cells")))).alias("lines"))
     rows = F.concat(F.get(heads, form.cast("int")), F.transform("lines", lambda x: x["cells"]))
