@@ -118,3 +118,12 @@ def test_cells_are_read_once(spark):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("[0-9]+(?:\\.[0-9]+)?") == most, name
         assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x], name
+
+
+def test_keys_of_models_are_made_once(spark):
+    """What is asked is read from a table by each way of meeting, so no plan reads the lines again."""
+    from docstrata.plans import registry
+
+    for name in ("model_keys", "placeholder_fields"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_partkey" not in plan, name
