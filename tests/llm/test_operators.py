@@ -580,3 +580,40 @@ def test_mixing_keeps_large_and_missing_ids(spark):
     again = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
     drawn = lambda x: sorted(((r["doc_id"] or 0, r["size"], r["copies"]) for r in x))
     assert drawn(out) == drawn(again)
+
+
+def test_hot_tiles_bring_every_pair_together_and_join_hot_keys_alone(spark):
+    from docstrata.llm.components import hot_tiles
+
+    rows = [(0, k) for k in range(600)] + [(1 + k // 2, k) for k in range(600)]
+    dealt = hot_tiles(spark.createDataFrame(rows, "key long, node long"), ["key"], "node", 100).collect()
+    together: dict = {}
+    for r in dealt:
+        together.setdefault((r["key"], r["tile"]), set()).add(r["node"])
+    assert max(map(len, together.values())) < 450
+    met = {(a, b) for (key, _), x in together.items() if key == 0 for a in x for b in x if a < b}
+    assert len(met) == 600 * 599 // 2
+    assert all(sum(key == k for key, _ in together) == 1 for k in range(1, 301))
+
+
+def test_long_lines_share_fewer_keys_by_chance_when_rare_grams_come_first():
+    """Lines of common words with one in six of their own: keys that two lines share."""
+    import random
+
+    import pyarrow as pa
+
+    from docstrata.llm.lines import gram_classes, long_keys
+    from docstrata.llm.textbytes import RangeHash, mixed
+
+    rnd = random.Random(11)
+    common = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)]
+    lines = [" ".join("".join(rnd.choice("mnopqrstuvwx") for _ in range(6)) if k % 3 == 2 else rnd.choice(common) for k in range(30)) for _ in range(300)]
+    classes = next(gram_classes(iter([pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)])], ["text"])])))
+    rare = np.frombuffer(classes.column(0)[0].as_py(), np.uint8)
+    chars = np.frombuffer("\n".join(lines).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(x) + 1 for x in lines]) - 1
+    starts, shared = ends - [len(x) for x in lines], []
+    for order in (None, rare):
+        index, probes = long_keys(RangeHash(mixed(chars.astype(np.uint64))), starts, ends, order)
+        shared.append(int(np.isin(probes["key"], index["key"]).sum()))
+    assert shared[1] < 0.7 * shared[0]
