@@ -617,3 +617,64 @@ def test_long_lines_share_fewer_keys_by_chance_when_rare_grams_come_first():
         index, probes = long_keys(RangeHash(mixed(chars.astype(np.uint64))), starts, ends, order)
         shared.append(int(np.isin(probes["key"], index["key"]).sum()))
     assert shared[1] < 0.7 * shared[0]
+
+
+def test_text_of_line_dedup_is_shuffled_compressed_and_pairs_in_rounds(spark, tmp_path, monkeypatch):
+    """Texts travel compressed, a candidate of a long line is a few numbers, and pairs are verified some at a time."""
+    import pyarrow as pa
+
+    import docstrata.llm.lines as L
+    from docstrata.llm.textbytes import text_bytes, unzipped, zipped
+
+    texts = pa.array(["ä" * 900, None, "", "one\ntwo"])
+    for a, b in zip(unzipped(zipped(texts)), text_bytes(texts)):
+        assert (a == b).all()
+    assert len(zipped(texts)[0].as_py()) < 60
+
+    rnd = random.Random(21)
+    base = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(12)]
+    rows = [(k, base[k % 12][: 20 * (k // 12)] + "q" + base[k % 12][20 * (k // 12) + 1 :]) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, write = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name, *codec: tables.append((name, write(df, name, *codec))) or tables[-1][1])
+    monkeypatch.setattr(L, "drop_table", lambda df: None)
+    monkeypatch.setattr(L, "ROUND_PAIRS", 100)
+    got = {r["doc_id"]: r for r in L.dedup_lines(docs).collect()}
+    assert all(r["n_links"] == 9 for r in got.values())
+    assert sorted(k for k, r in got.items() if r["n_kept"]) == list(range(12))
+    held = dict(tables)
+    assert sum(name == "line-links" for name, _ in tables) > 2
+    assert held["line-candidates"].filter("at >= 0").count() and not held["line-candidates"].filter("at >= 0 AND chars IS NOT NULL").count()
+
+
+def test_packed_keys_of_uneven_steps_take_few_bytes():
+    from docstrata.llm.substrings import packed, unpacked
+
+    rng = np.random.default_rng(2)
+    for n, most in ((1, 5), (2, 2**64 - 1), (500, 3), (5000, 2**24), (100_000, 2**33)):
+        keys = np.sort(rng.integers(0, most, n, dtype=np.uint64, endpoint=True))
+        assert (unpacked(packed(keys)) == keys).all()
+    assert len(packed(keys)) < 2.4 * len(keys)  # steps of one width take three bytes
+    keys = np.append(keys, np.uint64(2**63))
+    assert (unpacked(packed(keys)) == keys).all()
+
+
+def test_pairs_compared_side_by_side_differ_as_one_by_one():
+    from docstrata.llm.lines import banded_edits, edits_allowed, pairs_within
+
+    rng = np.random.default_rng(4)
+    x, y = [], []
+    while len(x) < 400:
+        a = rng.integers(97, 97 + rng.integers(2, 20), int(rng.integers(60, 640))).astype(np.uint32)
+        b, most = a.tolist(), int(edits_allowed(len(a)))
+        for _ in range(int(rng.integers(most, 2 * most + 3))):
+            p = int(rng.integers(0, len(b)))
+            b[p : p + int(rng.integers(0, 2))] = rng.integers(97, 9000, int(rng.integers(0, 2))).tolist()
+        a, b = sorted((a, np.array(b, np.uint32)), key=len)
+        if len(b) - len(a) <= edits_allowed(len(a)):
+            x.append(a)
+            y.append(b)
+    most = edits_allowed(np.array([len(a) for a in x]))
+    expected = [banded_edits(a, b, int(k)) <= k for a, b, k in zip(x, y, most)]
+    assert 50 < sum(expected) < 350
+    assert pairs_within(x, y, most).tolist() == expected
