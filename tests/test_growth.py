@@ -127,3 +127,22 @@ def test_keys_of_models_are_made_once(spark):
     for name in ("model_keys", "placeholder_fields"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "l_partkey" not in plan, name
+
+
+def test_texts_and_classes_of_entries_meet_as_numbers(spark):
+    """Pairs of texts and classes are added up by two keys, without the terms; frequent and rare ways give the same."""
+    import re
+
+    from docstrata.operators.catalog import candidates
+
+    items = [(k, f"红{k % 7}漆、绿{k % 3}漆", f"有红{k % 7}漆工艺的；年用绿{k % 3}漆的", None) for k in range(60)]
+    asks = [(k, f"有红{k % 7}漆工艺的绿{k % 3}漆") for k in range(40)]
+    d = spark.createDataFrame(items, "item long, category string, book string, form string")
+    t = spark.createDataFrame(asks, "id long, text string")
+    results = []
+    for rare in (0, 9, 1000):
+        found = candidates(t, d, ["book", "form"], rare=rare)
+        plan = found._jdf.queryExecution().toString()
+        assert "array_contains" not in plan or not re.search(r"Aggregate[^\n]*often[^\n]*aid", plan)
+        results.append(sorted(map(tuple, found.collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) == 200
